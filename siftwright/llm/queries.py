@@ -6,13 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression_quality, decontaminate, jaccard_join, quality_rules, substring_dedup, toxicity
+from . import (
+    compression_quality,
+    decontaminate,
+    jaccard_join,
+    line_dedup,
+    mixing,
+    quality_rules,
+    sharding,
+    substring_dedup,
+    token_counts,
+    toxicity,
+)
+
+
+#: Target weights of the sources, in hundredths: eight common ones, the others share alike.
+WEIGHTS = {"src0": 20, "src1": 10, "src2": 10, "src3": 8, "src4": 8, "src5": 6, "src6": 5, "src7": 5} | {f"src{i}": 2 for i in range(8, 20)}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), WEIGHTS)
+
+
+def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"))
+
+
+def op3_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op4_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -25,6 +52,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("th", "tl")
 
@@ -38,15 +69,31 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pfair_mixing": op1_pfair_mixing,
+    "op2_virtual_slots": op2_virtual_slots,
+    "op3_line_windows": op3_line_windows,
     "op4_compression_quality": op4_compression_quality,
     "op5_quality_rules": op5_quality_rules,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_token_counts": op7_token_counts,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_toxicity_grammar": op9_toxicity_grammar,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_line_windows": r"""
+WITH d AS (SELECT doc_id, coalesce(string_split(text, chr(10)), []) AS l FROM documents),
+win AS (SELECT doc_id, i, array_to_string(l[i:i + 2], chr(10)) AS g
+        FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM d WHERE len(l) >= 3)),
+later AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+gone AS (SELECT doc_id, list(DISTINCT i + k) AS ps FROM later, range(0, 3) t(k) GROUP BY doc_id),
+kept AS (SELECT doc_id, len(l) AS n, CASE WHEN ps IS NULL THEN l
+                ELSE list_filter(l, lambda x, i: NOT list_contains(ps, i)) END AS k
+         FROM d LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n::BIGINT AS n_lines, (n - len(k))::BIGINT AS n_removed, sha256(array_to_string(k, chr(10))) AS kept_sha256
+FROM kept
+""",
     "op6_ngram_jaccard_join": r"""
 WITH RECURSIVE d AS (
     SELECT doc_id, coalesce(regexp_extract_all(
