@@ -74,11 +74,11 @@ def _level_two(window: int, base: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(signed(windows(wh, window)[starts])),
-                    pa.array(signed(windows(wh, window, _SECOND)[starts])),
-                    *(part.column(part.schema.get_field_index(k)).take(take) for k in ("th", "tl", "doc_id")),
+                    pa.array((windows(wh, window, _SECOND)[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                    *(part.column(part.schema.get_field_index(k)).take(take) for k in ("doc_id", "t")),
                     pa.array((starts - first[doc]).astype(np.int32)),
                 ],
-                ["h", "g", "th", "tl", "doc_id", "start"],
+                ["h", "g", "doc_id", "t", "start"],
             )
 
     return run
@@ -133,21 +133,25 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, base: int | None = No
     one = real.select("doc_id", "text").mapInArrow(_level_one(window, base, ["doc_id"], False), "h long, doc_id long")
     again = materialise(one.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h"), "short")
     sweep(spark)
-    first = materialise(real.groupBy("th", "tl").agg(F.min("doc_id").alias("doc_id")), "firsts")
+    # a text's rows are known below by its first doc_id and a part of its hash, which is short to shuffle
+    first = real.groupBy("th", "tl").agg(F.min("doc_id").alias("doc_id")).withColumn("t", F.shiftright("th", 32).cast("int"))
+    first = materialise(first, "firsts")
     at = real.select("th", "text").mapInArrow(_level_one(window, base, ["th"], True), "h long, th long, pos int")
     alive = at.join(again, "h").groupBy("th").agg(F.sort_array(F.collect_set("pos")).alias("alive"))
     alive = materialise(first.join(alive, "th"), "alive")
     sweep(spark)
 
-    # twice the length: only windows around a survivor are hashed and compared, one document for each text
-    two = real.join(alive.hint("shuffle_hash"), ["th", "tl", "doc_id"]).mapInArrow(_level_two(window, base), "h long, g long, th long, tl int, doc_id long, start int")
+    # twice the length: only windows around a survivor are hashed (96 bits) and compared, one document for each text
+    two = real.join(alive.hint("shuffle_hash"), ["th", "tl", "doc_id"]).mapInArrow(_level_two(window, base), "h long, g int, doc_id long, t int, start int")
     two = materialise(two, "long")
     sweep(spark)
     least = two.groupBy("h", "g").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h", "g", "a")
+    least = materialise(least, "least")  # so that the join below can split a window with very many rows
+    sweep(spark)
     later = two.join(least, ["h", "g"]).where("a < doc_id")
-    spans = later.groupBy("th", "tl").agg(F.collect_set("start").alias("starts"))
-    spans = materialise(first.withColumnRenamed("doc_id", "first_id").join(spans, ["th", "tl"], "left"), "spans")
+    spans = materialise(later.groupBy("doc_id", "t").agg(F.collect_set("start").alias("starts")), "starts")
     sweep(spark)
+    spans = first.join(spans, ["doc_id", "t"], "left").select("th", "tl", F.col("doc_id").alias("first_id"), "starts")
 
     out = d.join(spans.hint("shuffle_hash"), ["th", "tl"], "left").select("doc_id", "text", "starts", F.coalesce(F.expr("doc_id > first_id"), F.lit(False)).alias("copy"))
     # a row without an id is neither first nor later
