@@ -142,7 +142,12 @@ class Grammar:
 def _beginnings(rows: DataFrame) -> DataFrame:
     """(label, entry) for each distinct word beginning and whole word of each document."""
     words = F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '[\\p{L}]+', 0)"))
-    cut = F.concat(*(F.transform(F.filter("w", lambda x, k=k: F.length(x) >= k), lambda x, k=k: F.substring(x, 1, k)) for k in range(SHORTEST, LONGEST + 1)), F.transform("w", lambda x: F.concat(x, F.lit("$"))))
+
+    def of_length(k: int):
+        long = F.filter("w", lambda x: F.length(x) >= k)
+        return F.transform(long, lambda x: F.substring(x, 1, k))
+
+    cut = F.concat(*map(of_length, range(SHORTEST, LONGEST + 1)), F.transform("w", lambda x: F.concat(x, F.lit("$"))))
     return rows.select("label", words.alias("w")).select("label", F.explode(F.array_distinct(cut)).alias("entry"))
 
 
