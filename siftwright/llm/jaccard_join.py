@@ -75,7 +75,7 @@ def _describe(n: int):
         def flush() -> pa.RecordBatch:
             nonlocal counts
             if pending:
-                counts += np.bincount((np.concatenate(pending) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                counts += np.bincount((np.concatenate(pending) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
                 pending.clear()
             out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
             rows.clear()
@@ -103,9 +103,20 @@ def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "part": [0], "counts": [total.tobytes()]})
 
 
+def _rank_keys(s: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Rank of each n-gram in the global order: its counter, then the upper half of its hash (sets come sorted by hash)."""
+    return (order[(s & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(32)) | (s >> np.uint64(32))
+
+
 def _ranks(s: np.ndarray, order: np.ndarray) -> np.ndarray:
     """The set in the global order, rarest first."""
-    return s[np.lexsort((s, order[(s % np.uint64(COUNTERS)).astype(np.int64)]))]
+    return s[np.argsort(_rank_keys(s, order), kind="stable")]
+
+
+def _first(s: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
+    """The first k of the set in the global order, and any that tie with the last of them."""
+    keys = _rank_keys(s, order)
+    return s[keys <= np.partition(keys, k - 1)[k - 1]]
 
 
 def _prefixes(n: int, percent: int, order, names: list[str]):
@@ -123,7 +134,7 @@ def _prefixes(n: int, percent: int, order, names: list[str]):
         for batch, i, s in _word_sets(batches, n):
             if not len(s):
                 continue
-            p = _ranks(s, order.value)[: len(s) - (percent * len(s) + 99) // 100 + 1]
+            p = _first(s, order.value, len(s) - (percent * len(s) + 99) // 100 + 1)
             toks.append(p)
             ids.append(np.full(len(p), _key(s)[0], np.int64))
             held += len(p)
@@ -322,8 +333,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     schema = "chunk int, part int, counts binary"
     counts = told.where("chunk is not null").withColumn("part", F.expr("task div 256")).groupBy("chunk", "part").applyInPandas(_add_up, schema)
     table = np.zeros(COUNTERS, np.int64)
+    # (counts of 2^32 and more would tie)
     for r in counts.groupBy("chunk").applyInPandas(_add_up, schema).collect():  # of a fixed size
-        table[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, np.int64)
+        table[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.minimum(np.frombuffer(r.counts, np.int64), 2**32 - 1)
     order = spark.sparkContext.broadcast(table)
 
     # one class for each set; its smallest doc_id stands for it
@@ -335,6 +347,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     sweep(spark)
     branch = materialise(pre.join(shared, "tok").groupBy("tok", "sid").agg(F.lit(1).alias("one")).select("tok", "sid"), "members")
     sweep(spark)
+    # branches with the same documents are one: told by their number and by two hashes of the set
+    marks = [F.bit_xor(F.xxhash64("sid", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
+    sets = branch.groupBy("tok").agg(F.count("*").alias("n"), *marks).where("n > 1")
+    branch = materialise(branch.join(sets.groupBy("n", "x0", "x1").agg(F.min("tok").alias("tok")).select("tok"), "tok"), "distinct")
+    sweep(spark)
     used = classes.join(branch.select("sid").distinct(), "sid").select("sid", F.col("rep").alias("doc_id"))
     texts = materialise(real.join(used.hint("shuffle_hash"), "doc_id").mapInArrow(_with_key(n), "sid long, text string").dropDuplicates(["sid"]), "texts")
     sweep(spark)
