@@ -17,7 +17,7 @@ def test_token_estimates(spark):
     assert [one(spark, f, "") for f in (tokens.multilingual, tokens.api, tokens.plugin)] == [0, 0, 0]
     assert one(spark, tokens.api, "x" * 10) == 2  # 2.5 to even
     assert one(spark, tokens.multilingual, "中文ab") == 1
-    assert one(spark, tokens.plugin, "a b {中") == 6
+    assert one(spark, tokens.plugin, "a b {中") == 5
 
 
 def test_keep_ratio_refuses(spark):
@@ -81,7 +81,7 @@ def test_keyword_aliases():
     assert cases.missing_facts("nothing", ["OAuth2", "compliance"]) == ["OAuth2", "compliance"]
     assert cases.missing_facts("OAuth2 only", ["OAuth2", "compliance"]) == ["compliance"]
     assert cases.same_fact("30 real-world cases", "30 cases") and not cases.same_fact("30 cases", "45 apples")
-    assert cases.number("two hundred") == 200 and cases.number("$5K") == 5000 and cases.number("x") is None
+    assert cases.number("seven hundred") == 700 and cases.number("$5K") == 5000 and cases.number("x") is None
 
 
 def test_assertions():
@@ -124,3 +124,20 @@ def test_empty_tables(spark):
     m = spark.createDataFrame([], "conv_id long, turn long, role string, content string")
     for f in (groups.conv_tokens, groups.risk_policy, groups.content_profile, groups.segments, groups.latest_keywords, dedup.near_dedup):
         assert f(m).collect() == []
+
+
+def test_case_files_and_summary(spark, tmp_path):
+    from siftwright.sources import tables
+
+    (tmp_path / "in").mkdir()
+    case = {"id": "c1", "category": "x", "messages": [{"role": "user", "content": "Pay 30 by Friday"}], "qa_groups": [["30", "thirty"], ["gone"]], "notes": "unused"}
+    (tmp_path / "in/a.json").write_text(json.dumps(case, indent=1))
+    other = {"id": "c2", "category": "x", "messages": [], "qa_assertions": [{"type": "present", "value": "Friday"}]}
+    (tmp_path / "in/b.json").write_text(json.dumps(other))
+    c = tables.load_cases(spark, str(tmp_path / "in"))
+    text = F.array_join(F.transform("messages", lambda m: m["content"]), "\n")
+    a = cases.assertions(c).join(c.select("id", text.alias("text")), "id").withColumn("x", cases.evaluate_assertion("text", "assertion"))
+    res = cases.case_results(a.select("id", "x.found", "x.miss"))
+    assert {tuple(r)[:3] for r in res.collect()} == {("c1", 1, 2), ("c2", 0, 1)}
+    tables.write_summary(cases.run_summary(res), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).first().total_qa == 3
