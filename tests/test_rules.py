@@ -130,7 +130,7 @@ def test_case_files_and_summary(spark, tmp_path):
     from siftwright.sources import tables
 
     (tmp_path / "in").mkdir()
-    case = {"id": "c1", "category": "x", "messages": [{"role": "user", "content": "Pay 30 by Friday"}], "qa_groups": [["30", "thirty"], ["gone"]], "notes": "unused"}
+    case = {"id": "c1", "category": "x", "messages": [{"role": "user", "content": "Pay 30 by Friday"}], "qa_groups": [["Friday", "friday"], ["gone"]], "notes": "unused"}
     (tmp_path / "in/a.json").write_text(json.dumps(case, indent=1))
     other = {"id": "c2", "category": "x", "messages": [], "qa_assertions": [{"type": "present", "value": "Friday"}]}
     (tmp_path / "in/b.json").write_text(json.dumps(other))
