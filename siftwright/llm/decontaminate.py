@@ -108,13 +108,14 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Da
     small = prefix.count() <= BROADCAST_WINDOWS
 
     # what a window can need around a hit, cut out before any shuffle
-    context = F.slice("hits", F.greatest(F.col("at") + 2 - window, F.lit(1)), 2 * window)
+    context = F.slice("hits", F.greatest(F.col("at") + 2 - window, F.lit(1)), F.lit(2 * window))
     each = each.select("th", "tl", "n_words", "k", "h", "i", F.least(F.col("at"), F.lit(window - 1)).alias("c"), context.alias("ctx"))
     pairs = each.join(F.broadcast(prefix) if small else prefix, ["k", "h"])
     # position and length bounds: the window lies within the document, and its run within the hits
     pairs = pairs.where("i >= j AND c >= j AND i - j + len <= n_words AND size(ctx) >= c - j + size(sh)")
-    run = F.slice("ctx", F.col("c") - F.col("j") + 1, F.size("sh"))
-    pairs = pairs.withColumn("run", run).where("run[size(sh) - 1].i = i - j + size(sh) - 1 AND run[0].i = i - j AND run[0].k = k AND run[size(sh) - 1].k = k AND transform(run, x -> x.h) = sh")
+    # (the bounds above are not sure to be looked at first)
+    run = F.slice("ctx", F.greatest(F.col("c") - F.col("j") + 1, F.lit(1)), F.size("sh"))
+    pairs = pairs.withColumn("run", run).where("get(run, size(sh) - 1).i = i - j + size(sh) - 1 AND get(run, 0).i = i - j AND get(run, 0).k = k AND get(run, size(sh) - 1).k = k AND transform(run, x -> x.h) = sh")
     occur = pairs.select("th", "tl", "n_words", "w", (F.col("i") - F.col("j")).alias("p"), "len")
 
     # per text: covered words from the merged spans, and the items of its windows
