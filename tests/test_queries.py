@@ -20,4 +20,4 @@ def test_names_are_whole():
 
 def test_rules_match_something(spark):
     reasons = {r.reason for r in queries.QUERIES["segment_histogram"](spark, SF).collect()}
-    assert {"tool_metadata", "cleaned_from_filler", "inline_filler", "command_en", "question"} <= reasons
+    assert {"tool_metadata", "cleaned_from_filler", "inline_filler", "residual_fragment", "empty_line"} <= reasons
