@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import rules, signals, tokens
 
@@ -135,9 +139,41 @@ def last_user_first_system(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conv_id").agg(F.max_by("content", user).alias("last_user"), F.min_by("content", system).alias("first_system"))
 
 
-def latest_keywords(messages: DataFrame) -> DataFrame:
-    """ASCII keywords of each conversation's last user message."""
-    return last_user_first_system(messages).select("conv_id", F.coalesce(signals.ascii_keywords(F.col("last_user")), F.array().cast("array<string>")).alias("keywords"))
+# Compounds looked for first, and what no chunk may contain.
+COMPOUNDS = ("项目上下文", "上下文", "长内容", "核心代码", "快速排序", "排序函数", "历史背景", "错误信息", "测试用例", "边界条件", "压缩", "总结", "代码")
+NO_CHUNK = ("谢谢", "你好", "就是", "大概", "请帮", "请压", "不需要解释")
+MOST_KEYWORDS = 12
+
+
+def _with_cjk(text: str, found: list[str]) -> list[str]:
+    """ASCII keywords, then compounds, then chunks of four, three and two characters from the start of each CJK run."""
+    out, seen = list(found), {x.lower() for x in found}
+    runs = re.findall("[一-鿿]{2,}", text)
+    chunks = (r[i : i + n] for r in (run[:24] for run in runs) for n in (4, 3, 2) for i in range(0, max(1, len(r) - n + 1), n))
+    usable = (c for c in chunks if len(c) > 1 and c not in signals.STOPWORDS and not any(x in c for x in NO_CHUNK))
+    for word in (*(c for c in COMPOUNDS if c in text), *usable):
+        if len(out) >= MOST_KEYWORDS:
+            break
+        if word not in seen:
+            seen.add(word)
+            out.append(word)
+    return out[:MOST_KEYWORDS]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _cjk_keywords(text: pd.Series, found: pd.Series) -> pd.Series:
+    return pd.Series([_with_cjk(t, list(f)) for t, f in zip(text, found)])
+
+
+def latest_keywords(messages: DataFrame, cjk: bool = True) -> DataFrame:
+    """Keywords of each conversation's last user message, twelve at most; Python only sees texts with CJK."""
+    last = last_user_first_system(messages).select("conv_id", F.col("last_user").alias("t"))
+    last = last.withColumn("keywords", F.coalesce(signals.ascii_keywords(F.col("t")), F.array().cast("array<string>")))
+    if not cjk:
+        return last.drop("t")
+    has = F.coalesce(F.col("t").rlike("[一-鿿]{2}"), F.lit(False))
+    more = last.where(has).select("conv_id", _cjk_keywords("t", "keywords").alias("keywords"))
+    return last.where(~has).drop("t").unionByName(more)
 
 
 def repeated_instructions(messages: DataFrame, limit: float = 0.6) -> DataFrame:

@@ -120,6 +120,13 @@ def test_recall_keys_do_not_overwrite(spark):
     assert got[0].count("[TO:retrieve") == 1 and got[1] == "tiny"
 
 
+def test_latest_keywords(spark):
+    rows = [(1, 0, "user", "old words here"), (1, 1, "user", "Check OrderService 项目上下文很长内容"), (2, 0, "system", "only system"), (3, 0, "user", "please Review this Review")]
+    got = {r.conv_id: r.keywords for r in groups.latest_keywords(spark.createDataFrame(rows, "conv_id long, turn long, role string, content string")).collect()}
+    assert got[1][:5] == ["Check", "OrderService", "项目上下文", "上下文", "长内容"] and "项目上下" in got[1] and len(got[1]) <= 12
+    assert got[2] == [] and got[3] == ["please", "Review"]
+
+
 def test_empty_tables(spark):
     m = spark.createDataFrame([], "conv_id long, turn long, role string, content string")
     for f in (groups.conv_tokens, groups.risk_policy, groups.content_profile, groups.segments, groups.latest_keywords, dedup.near_dedup):
