@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,25 +149,27 @@ def _prefixes(n: int, percent: int, order, names: list[str]):
 
 
 def _with_key(n: int):
+    """Texts of the wanted sets, compressed for the shuffles ahead."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[int] = []
-        last = None
-        rows: list[int] = []
+        texts: list[bytes] = []
+        pack = zstandard.ZstdCompressor(level=3).compress
 
         def flush() -> pa.RecordBatch:
-            b = last.take(pa.array(rows))
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), b.column(b.schema.get_field_index("text"))], ["sid", "text"])
+            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.binary())], ["sid", "text"])
+            keys.clear()
+            texts.clear()
+            return out
 
         for batch, i, s in _word_sets(batches, n):
-            if batch is not last:
-                if rows:
-                    yield flush()
-                last, rows, keys = batch, [], []
             k = _key(s)[0]
             if k == batch.column(batch.schema.get_field_index("sid"))[i].as_py():
-                rows.append(i)
                 keys.append(k)
-        if rows:
+                texts.append(pack(batch.column(batch.schema.get_field_index("text"))[i].as_py().encode()))
+            if len(keys) >= 2000:
+                yield flush()
+        if keys:
             yield flush()
 
     return run
@@ -295,14 +298,14 @@ def tree_overlaps(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> li
 
 def _verify(n: int, percent: int, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress
 
         def ordered(t: bytes) -> np.ndarray:
-            return _ranks(_set_of(t.lower().split(), cache, n), order.value)[::-1]
+            return _ranks(_set_of(unpack(t).lower().split(), cache, n), order.value)[::-1]
 
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            ta, tb = batch.column("ta").cast(pa.binary()), batch.column("tb").cast(pa.binary())
+            ta, tb = batch.column("ta"), batch.column("tb")
             out: list[tuple[int, int]] = []
             for _, rows in groupby(range(len(a)), key=lambda i: a[i]):
                 rows = list(rows)
@@ -353,7 +356,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     branch = materialise(branch.join(sets.groupBy("n", "x0", "x1").agg(F.min("tok").alias("tok")).select("tok"), "tok"), "distinct")
     sweep(spark)
     used = classes.join(branch.select("sid").distinct(), "sid").select("sid", F.col("rep").alias("doc_id"))
-    texts = materialise(real.join(used.hint("shuffle_hash"), "doc_id").mapInArrow(_with_key(n), "sid long, text string").dropDuplicates(["sid"]), "texts")
+    texts = materialise(real.join(used.hint("shuffle_hash"), "doc_id").mapInArrow(_with_key(n), "sid long, text binary").dropDuplicates(["sid"]), "texts")
     sweep(spark)
 
     label = classes.select("sid", F.col("rep").alias("comp"))
