@@ -360,7 +360,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     sweep(spark)
 
     label = classes.select("sid", F.col("rep").alias("comp"))
-    linked, tried, leaders = None, None, 1
+    tried, leaders = None, 1
     while True:
         info = classes.select("sid", "size", "sig").join(label, "sid")
         rows = branch.join(info, "sid")
@@ -378,13 +378,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         sure = pairs.join(left, "b").join(right, "a").select("a", "b", "ta", "tb").mapInArrow(_verify(n, percent, order), "a long, b long")
         sure = materialise(sure, "links")
         sweep(spark)
-        old = label.withColumnsRenamed({"comp": "old"})
-        edges = sure.join(old.withColumnsRenamed({"sid": "a", "old": "ca"}), "a").join(old.withColumnsRenamed({"sid": "b", "old": "cb"}), "b")
-        merged = components(edges.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        label = materialise(
-            old.join(merged, old["old"] == merged["node"], "left").select("sid", F.coalesce("component", "old").alias("comp")), "labels"
-        )
-        sweep(spark)
+        if not sure.isEmpty():
+            old = label.withColumnsRenamed({"comp": "old"})
+            edges = sure.join(old.withColumnsRenamed({"sid": "a", "old": "ca"}), "a").join(old.withColumnsRenamed({"sid": "b", "old": "cb"}), "b")
+            merged = components(edges.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+            label = old.join(merged, old["old"] == merged["node"], "left").select("sid", F.coalesce("component", "old").alias("comp"))
+            label = materialise(label, "labels")
+            sweep(spark)
         branch = step.where("tok is not null").select("tok", "sid")
         if branch.isEmpty():
             break
