@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts_of
-from .fitting import fit_logistic, fold, label_counts, labelled, logistic, sample
+from .fitting import fit_logistic, fold, label_counts, logistic, marked, sample, texts_of_sample
 
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
@@ -71,14 +71,15 @@ def _features(good: bytes, bad: bytes):
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on bounded samples of labelled rows outside the held-out fold: folds 1 and 2 give the dictionaries, 3 and 4 the calibration."""
-    rows = labelled(docs, labels, "quality", FOLDS, HELD_OUT).select("doc_id", F.col("text").cast("string").alias("text"), "label")
-    own = rows.where(fold("doc_id", FOLDS) <= 2).where(F.octet_length("text").between(1, DICTIONARY_BYTES))
-    both = sample(own, 1, DICTIONARY_DOCS).union(sample(own, 0, DICTIONARY_DOCS)).select("label", "text").collect()
+    marks = marked(labels, "quality", FOLDS, HELD_OUT)
+    own = marks.where(fold("id", FOLDS) <= 2)
+    both = texts_of_sample(docs, sample(own, 1, DICTIONARY_DOCS).union(sample(own, 0, DICTIONARY_DOCS)), "dictionary")
+    both = both.where(F.octet_length("text").between(1, DICTIONARY_BYTES)).collect()
     good, bad = (train_dictionary([r.text.encode() for r in both if r.label == k]) for k in (1, 0))
-    rest = rows.where(fold("doc_id", FOLDS) > 2)
+    rest = marks.where(fold("id", FOLDS) > 2)
     counts = label_counts(rest)
-    rest = sample(rest, 1, CALIBRATION_DOCS).union(sample(rest, 0, CALIBRATION_DOCS))
-    got = rest.select("label", "text").mapInArrow(_features(good, bad), "label int, x array<double>").collect()
+    rest = texts_of_sample(docs, sample(rest, 1, CALIBRATION_DOCS).union(sample(rest, 0, CALIBRATION_DOCS)), "calibration")
+    got = rest.mapInArrow(_features(good, bad), "label int, x array<double>").collect()
     x, y = np.array([r.x for r in got], float), np.array([r.label for r in got], float)
     return Model(good, bad, fit_logistic(x, y, counts))
 

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 
 def fold(doc_id: str, of: int) -> Column:
     """crc32 of the doc_id as text, modulo ``of``; null for a null id."""
@@ -38,16 +40,21 @@ def logistic(x: list[float], w: list[float]) -> float:
     return float(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str, of: int, out: int) -> DataFrame:
-    """doc_id, text, label (0 or 1) of the rows to learn from: those whose fold isn't ``out``."""
+def marked(labels: DataFrame, column: str, of: int, out: int) -> DataFrame:
+    """(id, label) of the labels (0 or 1) to learn from: those whose fold isn't ``out``."""
     marks = labels.select(F.col("doc_id").alias("id"), F.col(column).cast("int").alias("label"))
-    marks = marks.where("label in (0, 1)").where(fold("id", of) != out).dropDuplicates(["id"])
-    return docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("id")).where("text is not null").select("doc_id", "text", "label")
+    return marks.where("label in (0, 1)").where(fold("id", of) != out).dropDuplicates(["id"])
+
+
+def sample(marks: DataFrame, label: int, limit: int) -> DataFrame:
+    """At most ``limit`` of one label, the same ones each time."""
+    return marks.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(limit)
 
 
-def sample(rows: DataFrame, label: int, limit: int) -> DataFrame:
-    """At most ``limit`` rows of one label, the same ones each time."""
-    return rows.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+def texts_of_sample(docs: DataFrame, picked: DataFrame, name: str) -> DataFrame:
+    """(label, text) of the picked ids, as a scratch table. Their number is bounded by the sample's limits, so they go to the documents."""
+    d = docs.select(F.col("doc_id").alias("_doc"), F.col("text").cast("string").alias("text")).where("text is not null")
+    return materialise(d.join(F.broadcast(picked), F.col("_doc") == F.col("id")).select("label", "text"), name)
 
 
 def label_counts(rows: DataFrame) -> dict[int, int]:

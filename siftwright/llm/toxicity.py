@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fitting import fit_logistic, fold, label_counts, labelled, logistic, sample
+from .fitting import fit_logistic, fold, label_counts, logistic, marked, sample, texts_of_sample
 
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
@@ -53,12 +53,12 @@ SYMBOLS = "ITYNRW#"
 #: An insult near its target is worth more, whichever comes first.
 TARGET = Transducer("-", {("-", "Y"): ("y", 1.0), ("-", "I"): ("i", 1.0), ("y", "I"): ("y", 1.5), ("y", "T"): ("y", 3.0), ("i", "I"): ("i", 1.0), ("-", "#"): ("-", 1.0), ("y", "#"): ("-", 1.0), ("i", "#"): ("-", 1.0), ("i", "Y"): ("y", 1.25)})
 #: A threat counts with a target or an insult in its clause; alone it is an ordinary word.
-THREAT = Transducer("-", {("-", "I"): ("i", 1.0), ("-", "T"): ("t", 0.0), ("-", "Y"): ("y", 1.0), ("t", "I"): ("i", 1.5), ("i", "T"): ("i", 1.0), ("y", "T"): ("y", 1.0), ("y", "I"): ("i", 1.0), ("t", "T"): ("t", 0.0), ("i", "#"): ("-", 1.0), ("t", "#"): ("-", 1.0), ("y", "#"): ("-", 1.0)})
+THREAT = Transducer("-", {("-", "I"): ("i", 1.0), ("-", "T"): ("t", 0.0), ("-", "Y"): ("y", 1.0), ("t", "I"): ("i", 1.5), ("i", "T"): ("i", 1.0), ("y", "T"): ("y", 1.0), ("y", "I"): ("i", 1.0), ("t", "Y"): ("y", 3.0), ("t", "T"): ("t", 0.0), ("i", "#"): ("-", 1.0), ("t", "#"): ("-", 1.0), ("y", "#"): ("-", 1.0)})
 #: Within three tokens after a negation a match is worth a quarter.
 NEGATION = Transducer(
     "0",
     {(s, "N"): ("3", 1.0) for s in "0123"}
-    | {(str(k), c): (str(k - 1), 0.25 if c in "IT" else 1.0) for k in (1, 2, 3) for c in "ITYRW"}
+    | {(str(k), c): (str(k - 1), 0.25 if c in "ITY" else 1.0) for k in (1, 2, 3) for c in "ITYRW"}
     | {(s, "#"): ("0", 1.0) for s in "0123"},
 )
 #: After a verb of report a match is worth half until the clause ends.
@@ -125,8 +125,8 @@ class Grammar:
             state, weight = arcs[symbol][state]
             if symbol == "I":
                 now += worth[i] * weight
-            elif symbol == "T":
-                now += self.THREAT_WEIGHT * weight if weight > 1 else 0.0
+            elif symbol in "TY" and weight >= 2:  # a threat and its target have met
+                now += self.THREAT_WEIGHT * weight
             if end and now:
                 found.append(now)
                 now = 0.0
@@ -178,14 +178,13 @@ def _features(lexicon: dict[str, float]):
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on bounded samples of labelled rows outside the held-out fold: the lexicon on three quarters of them, the calibration on the others."""
-    rows = labelled(docs, labels, "toxic", FOLDS, HELD_OUT).select("doc_id", F.col("text").cast("string").alias("text"), "label")
-    part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4))
-    own = rows.where(part > 0)
-    lexicon = learn_lexicon(sample(own, 1, LEXICON_TOXIC).union(sample(own, 0, LEXICON_CLEAN)))
-    rest = rows.where(part == 0)
+    marks = marked(labels, "toxic", FOLDS, HELD_OUT)
+    part = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(4))
+    own, rest = marks.where(part > 0), marks.where(part == 0)
+    lexicon = learn_lexicon(texts_of_sample(docs, sample(own, 1, LEXICON_TOXIC).union(sample(own, 0, LEXICON_CLEAN)), "lexicon"))
     counts = label_counts(rest)
-    rest = sample(rest, 1, CALIBRATION_DOCS).union(sample(rest, 0, CALIBRATION_DOCS))
-    got = rest.select("label", "text").mapInArrow(_features(lexicon), "label int, x array<double>").collect()
+    rest = texts_of_sample(docs, sample(rest, 1, CALIBRATION_DOCS).union(sample(rest, 0, CALIBRATION_DOCS)), "calibration")
+    got = rest.mapInArrow(_features(lexicon), "label int, x array<double>").collect()
     return Model(lexicon, fit_logistic(np.array([r.x for r in got], float), np.array([r.label for r in got], float), counts))
 
 
