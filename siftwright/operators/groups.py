@@ -179,10 +179,12 @@ def latest_keywords(messages: DataFrame, cjk: bool = True) -> DataFrame:
 def repeated_instructions(messages: DataFrame, limit: float = 0.6) -> DataFrame:
     """User messages whose instruction a later one of the conversation repeats: equal, contained, or by bigrams."""
     k = messages.where("role = 'user'").select("conv_id", "turn", rules.instruction_key(F.col("content")).alias("key")).where("key <> ''")
-    k = k.withColumn("g", char_ngrams(F.col("key"), 2))
-    a, b = k.alias("a"), k.alias("b")
+    # equal instructions are compared once, by their last turn
+    g = k.groupBy("conv_id", "key").agg(F.max("turn").alias("last")).withColumn("g", char_ngrams(F.col("key"), 2))
+    a, b = g.alias("a"), g.alias("b")
     same = (F.col("a.key") == F.col("b.key")) | F.contains("a.key", "b.key") | F.contains("b.key", "a.key") | (jaccard(F.col("a.g"), F.col("b.g")) > limit)
-    return a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.turn") < F.col("b.turn")) & same, "left_semi").select("conv_id", "turn", "key")
+    last = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & same).groupBy("a.conv_id", "a.key").agg(F.max("b.last").alias("last"))
+    return k.join(last, ["conv_id", "key"]).where("turn < last").select("conv_id", "turn", "key")
 
 
 def without_echoes(messages: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -566,7 +566,7 @@ _KEY = "concat('查询用户记录', CASE WHEN turn % 3 = 0 THEN '写报告' WHE
 
 @query(f"WITH k AS (SELECT conv_id, turn, {_KEY} AS key FROM ({CJK}) WHERE turn < 2000) SELECT conv_id, turn, key FROM k a WHERE EXISTS (SELECT 1 FROM k b WHERE b.conv_id = a.conv_id AND b.turn > a.turn AND (a.key = b.key OR contains(a.key, b.key) OR contains(b.key, a.key)))")
 def repeated_instructions(spark: SparkSession, sf: str) -> DataFrame:
-    return groups.repeated_instructions(cjk(spark, sf).where("turn < 2000"))
+    return groups.repeated_instructions(cjk(spark, sf))
 
 
 @query(
