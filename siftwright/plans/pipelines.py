@@ -155,9 +155,9 @@ def fidelity(original: DataFrame, reduced: DataFrame) -> DataFrame:
 def shadow(messages: DataFrame, model: str, least_tokens: int = 0, ruled: DataFrame | None = None, learned: DataFrame | None = None) -> DataFrame:
     """What smart compression would do and save, per conversation, without doing it.
 
-    ``ruled`` are the rule-compressed messages (by default the messages themselves); ``learned`` has (cheap, avg_ratio, blocked).
+    ``ruled`` are the rule-compressed messages, made here by default; ``learned`` has (cheap, avg_ratio, blocked).
     """
-    ruled = messages if ruled is None else ruled
+    ruled = rule_compress(messages) if ruled is None else ruled
     t = token_change(messages, ruled).join(groups.risk_policy(ruled), "conv_id").withColumn("model", F.lit(model))
     t = lookups.find_route(t).withColumn("pos", F.lit(0))
     if learned is not None:

@@ -895,7 +895,10 @@ def shadow_telemetry(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def rollout_gate(spark: SparkSession, sf: str) -> DataFrame:
-    return pipelines.rollout_gate(pipelines.shadow(messages(spark, sf), "qwen-max").withColumn("protected_span_count", F.col("conv_id") % 80))
+    m = messages(spark, sf)
+    spans = pipelines.protected_spans(m).groupBy("conv_id").agg(F.count("*").alias("protected_span_count"))
+    plan = pipelines.shadow(m, "qwen-max").join(spans, "conv_id", "left")
+    return pipelines.rollout_gate(plan.withColumn("protected_span_count", F.coalesce("protected_span_count", F.lit(0).cast("long"))))
 
 
 def _replies(m: DataFrame) -> DataFrame:

@@ -1,10 +1,9 @@
 """Registered queries use every row of their tables, against brute force on small tables."""
 
-import pytest
-from pyspark.sql import functions as F
 
 from siftwright import queries
 from siftwright.functions import rules
+from siftwright.plans import pipelines
 from siftwright.sources import tables
 
 
@@ -22,3 +21,15 @@ def test_repeated_instructions_beyond_2000_ids(spark, tmp_path):
     want = sorted(r for r in keyed if r[2] and any(o[0] == r[0] and o[1] > r[1] and o[2] and same(r[2], o[2]) for o in keyed))
     assert sorted(map(tuple, queries.QUERIES["repeated_instructions"](spark, str(tmp_path)).collect())) == want
     assert any(r[1] > 2000 for r in want)
+
+
+def test_shadow_runs_the_rules(spark, tmp_path):
+    talk = [("user", "嗯嗯 就是说，麻烦你 请帮我写一个报告！！谢谢谢谢，好的好的收到"), ("assistant", "ok\nThe report of order 7 is at https://a.example/r/7 and costs $1200"), ("user", "请帮我写一个报告！！谢谢")]
+    rows = [(79, i, r, t) for i, (r, t) in enumerate(talk)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    m = tables.messages(spark, str(tmp_path))
+    want = pipelines.token_change(m, pipelines.rule_compress(m)).first()
+    got = pipelines.shadow(m, "mimo-v2.5-pro").first()
+    assert got.rule_tokens == want.rule_tokens < got.original_tokens and got.rule_cost < got.raw_cost
+    gate = queries.QUERIES["rollout_gate"](spark, str(tmp_path)).first()
+    assert gate.protected_span_count == pipelines.protected_spans(m).count() < 64 and gate.reason != "too_many_protected_spans"
