@@ -50,8 +50,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and place."""
-    return sharding.shard_documents(docs, carry=True)
+    """All documents with their shard and place; the places of a shard follow the mix, worked out again as files keep no order."""
+    return sharding.shard_documents(docs, carry=True, order=lambda d: mixing.mix(d, WEIGHTS, carry=True).select(*d.columns, "position"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

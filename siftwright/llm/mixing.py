@@ -69,7 +69,7 @@ def mix(docs: DataFrame, weights: dict[str, int], default: int = 1, block_docs:
     Reads ``doc_id`` and ``source`` of ``docs``; returns doc_id, source, block (of its source, from 0), slot,
     release and deadline (slots: the block has release <= slot < deadline), phase and position, by which the mix
     is read; with ``carry`` all columns of ``docs`` come first. All rows are placed, in an order within their
-    source that depends on ids alone. Sources without a weight have ``default``; a null source is a source of
+    source that depends on ids alone (with ``carry``, on their texts where ids repeat). Sources without a weight have ``default``; a null source is a source of
     its own. Null ids and repeated rows are rows like any other. The last block of a source may be smaller than
     ``block_docs``, so positions rise but may have gaps. An empty table gives an empty result.
     """
@@ -78,6 +78,7 @@ def mix(docs: DataFrame, weights: dict[str, int], default: int = 1, block_docs:
     spark = docs.sparkSession
     made = ["block", "slot", "release", "deadline", "phase", "position"]
     d = (docs.drop(*made) if carry else docs.select("doc_id", "source")).withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "source"), F.lit(BUCKETS)))
+    d = d.withColumn("_text", F.xxhash64("text") if carry and "text" in docs.columns else F.lit(0).cast("long"))
     counts = d.groupBy("source", "_bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("source").orderBy("_bucket")) - F.col("n")
     counts = counts.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), "n", before.alias("_before"))
@@ -90,7 +91,7 @@ def mix(docs: DataFrame, weights: dict[str, int], default: int = 1, block_docs:
     if len(rows) <= BROADCAST_ROWS:
         phases = F.broadcast(phases)
 
-    place = F.row_number().over(Window.partitionBy("source", "_bucket").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    place = F.row_number().over(Window.partitionBy("source", "_bucket").orderBy(F.xxhash64("doc_id"), "doc_id", "_text"))
     d = d.withColumn("_place", place).join(counts.drop("n"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
     d = d.withColumn("_rank", F.col("_before") + F.col("_place") - 1).withColumn("block", F.expr(f"_rank div {block_docs}"))
     inside = (F.col("block") >= F.col("done")) & (F.col("block") < F.col("done") + F.col("blocks"))

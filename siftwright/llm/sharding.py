@@ -8,6 +8,7 @@ bytes as the new balance needs.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,6 +18,8 @@ SLOTS = 4096
 SHARDS = 24
 #: Bytes that a record has besides its text.
 OVERHEAD = 8
+#: Ranges of positions by which the rows of a shard are counted off, so that no task holds a whole shard.
+RANGES = 256
 
 
 @dataclass(frozen=True)
@@ -100,14 +103,16 @@ def slot_loads(docs: DataFrame) -> tuple[list[int], list[int]]:
     return loads, counts
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, known: SlotMap | None = None, carry: bool = False) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, known: SlotMap | None = None, carry: bool = False, order: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Every row's shard, and its place in it, gapless from 0.
 
     Reads ``doc_id`` and ``text`` of ``docs`` and returns doc_id, size, text_crc32, law (``bytes``: the shards'
     sums of sizes are near equal), shard, slot, grown_shard (null), virtual_slot and map_version; with ``carry``
     all columns of ``docs`` come first, and any of its own by those names give way. A null text has no bytes and
     the checksum of the empty one. Null ids and repeated rows are rows like any other; rows alike in id and text
-    share a virtual slot, which stays in one shard. Without ``known`` a first map is made for ``docs``.
+    share a virtual slot, which stays in one shard. Without ``known`` a first map is made for ``docs``. ``order``
+    adds ``position`` (whole, from 0, unique, the same each time) to the rows, and places follow it; without it they
+    follow virtual slots and ids.
     """
     spark = docs.sparkSession
     made = ["size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot", "map_version"]
@@ -122,9 +127,16 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, known: SlotMap | None
     table = spark.createDataFrame(rows, "virtual_slot int, shard int, start long, map_version int")
     if not carry:
         d = d.select("doc_id", "size", "text_crc32", "virtual_slot")
-    place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
-    out = d.withColumn("place", place).join(F.broadcast(table), "virtual_slot")  # SLOTS rows
-    kept = [c for c in out.columns if c not in {*made, "place", "start"}]
+    kept = [c for c in d.columns if c not in made]
+    if order is None:
+        place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
+        out = d.withColumn("place", place).join(F.broadcast(table), "virtual_slot")  # SLOTS rows
+    else:
+        d = order(d).join(F.broadcast(table.drop("start")), "virtual_slot").withColumn("_range", F.expr(f"position div {max(1, -(-sum(counts) // RANGES))}"))
+        n = d.groupBy("shard", "_range").agg(F.count("*").alias("n"))
+        before = F.sum("n").over(Window.partitionBy("shard").orderBy("_range")) - F.col("n")
+        place = F.row_number().over(Window.partitionBy("shard", "_range").orderBy("position"))
+        out = d.withColumn("place", place).join(F.broadcast(n.select("shard", "_range", before.alias("start"))), ["shard", "_range"])
     return out.select(
         *kept, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("place") - 1).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version",
