@@ -457,7 +457,7 @@ _NUM = "len(regexp_extract_all(content, '[$]?[0-9][0-9,.]*[KkMm%]?'))"
 
 @query(_CHAT + f"SELECT conv_id, turn, {_NUM}::BIGINT AS numbers, length(trim(content)) >= 20 AND length(content) < 500 AND {_NUM} >= 3 AS short_dense FROM chat WHERE role = 'user' AND turn = 1")
 def fact_dense(spark: SparkSession, sf: str) -> DataFrame:
-    m = chat(spark, sf).where("role = 'user' AND turn = 1")
+    m = chat(spark, sf).where("role = 'user'")
     return m.select("conv_id", "turn", signals.count(F.col("content"), signals.NUMBER).cast("long").alias("numbers"), signals.is_fact_dense(F.col("content")).alias("short_dense"))
 
 
@@ -605,8 +605,8 @@ def simhash_fp(spark: SparkSession, sf: str) -> DataFrame:
     _CHAT + "SELECT conv_id, array_to_string(list_distinct(regexp_extract_all(content, 'https?://[^\\s]+')), ' ') AS urls, array_to_string(list_distinct(regexp_extract_all(content, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')), ' ') AS emails FROM chat WHERE turn = 1"
 )
 def signals_extract(spark: SparkSession, sf: str) -> DataFrame:
-    m = chat(spark, sf).where("turn = 1")
-    return m.select("conv_id", *(F.array_join(signals.matches(F.col("content"), k), " ").alias(k) for k in ("urls", "emails")))
+    m = chat(spark, sf)
+    return m.select("conv_id", "turn", *(F.array_join(signals.matches(F.col("content"), k), " ").alias(k) for k in ("urls", "emails")))
 
 
 @query()
@@ -631,9 +631,9 @@ def fidelity(spark: SparkSession, sf: str) -> DataFrame:
     " SELECT conv_id, len(list_intersect(eo, ec)) / len(eo) AS entity_recall, len(list_intersect(no, nc)) / len(no) AS number_precision, round_even((1 - len(list_intersect(eo, ec)) / len(eo)) * 100, 0)::BIGINT AS entity_loss FROM e"
 )
 def evaluator(spark: SparkSession, sf: str) -> DataFrame:
-    m = chat(spark, sf).where("turn = 1")
+    m = chat(spark, sf)
     e = signals.evaluate(F.col("content"), F.substring("content", 1, 90))
-    return m.select("conv_id", *(e[k].alias(k) for k in ("entity_recall", "number_precision", "entity_loss")))
+    return m.select("conv_id", "turn", *(e[k].alias(k) for k in ("entity_recall", "number_precision", "entity_loss")))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS structure FROM events")
@@ -674,7 +674,7 @@ def number_values(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def pack_facts(spark: SparkSession, sf: str) -> DataFrame:
-    m = chat(spark, sf).where("turn IN (1, 3)")
+    m = chat(spark, sf)
     return pack.packed(m, "packed", "content", F.floor(F.length("content") * 0.6), F.lit(True)).select("conv_id", "turn", "packed")
 
 
@@ -952,9 +952,9 @@ def assertion_eval(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def keyword_recall(spark: SparkSession, sf: str) -> DataFrame:
-    m = chat(spark, sf).where("turn = 1")
+    m = chat(spark, sf)
     k = F.array(F.lit("30 days"), F.lit("0.25 s"), F.lit("250 ms"), F.lit("Invoice"), F.lit("unicorn"))
-    return m.select("conv_id", cases.keyword_recall(F.col("content"), k).alias("missing"))
+    return m.select("conv_id", "turn", cases.keyword_recall(F.col("content"), k).alias("missing"))
 
 
 @query()

@@ -1,5 +1,9 @@
 """Registered queries use every row of their tables, against brute force on small tables."""
 
+import datetime
+import re
+
+from pyspark.sql import functions as F
 
 from siftwright import queries
 from siftwright.functions import rules
@@ -33,3 +37,17 @@ def test_shadow_runs_the_rules(spark, tmp_path):
     assert got.rule_tokens == want.rule_tokens < got.original_tokens and got.rule_cost < got.raw_cost
     gate = queries.QUERIES["rollout_gate"](spark, str(tmp_path)).first()
     assert gate.protected_span_count == pipelines.protected_spans(m).count() < 64 and gate.reason != "too_many_protected_spans"
+
+
+def test_every_chat_message_has_a_row(spark, tmp_path):
+    orders = "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate date, o_orderstatus string, o_orderpriority string"
+    spark.createDataFrame([(k, 5, 99.5, datetime.date(2026, 1, k), "O", "1-URGENT") for k in (2, 3)], orders).write.parquet(f"{tmp_path}/orders.parquet")
+    texts = {(r.conv_id, r.turn): (r.role, r.content) for r in tables.chat(spark, str(tmp_path)).collect()}
+    got = {n: {(r.conv_id, r.turn): r for r in queries.QUERIES[n](spark, str(tmp_path)).collect()} for n in ("fact_dense", "signals_extract", "evaluator", "keyword_recall", "pack_facts")}
+    users = {k for k, (role, _) in texts.items() if role == "user"}
+    assert set(got["fact_dense"]) == users and all(set(got[n]) == set(texts) for n in set(got) - {"fact_dense"})
+    for k, (_, t) in texts.items():
+        assert got["signals_extract"][k].emails == " ".join(dict.fromkeys(re.findall(r"[\w.%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", t)))
+        assert len(got["pack_facts"][k].packed) <= len(t)
+        assert "unicorn" in got["keyword_recall"][k].missing and ("Invoice" in got["keyword_recall"][k].missing) == ("invoice" not in t.lower())
+    assert all(got["fact_dense"][k].numbers == len(re.findall(r"[$]?[0-9][0-9,.]*[KkMm%]?", texts[k][1])) for k in users)
