@@ -109,7 +109,7 @@ def context_tier(models: DataFrame, model: str = "model") -> DataFrame:
 
 def text_models(models: DataFrame, model: str = "model") -> DataFrame:
     """Models that produce text."""
-    return models.where(~F.lower(F.col(model)).rlike("tts|embedding|whisper|dall-e|image|audio|rerank"))
+    return models.where(~F.lower(F.col(model)).rlike("tts|asr|stt|voice|audio|speech|embedding|rerank|image|vision|whisper|dall-e"))
 
 
 def rank_candidates(candidates: DataFrame, limit: int = 5) -> DataFrame:
