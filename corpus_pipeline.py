@@ -27,11 +27,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near duplicates (word shingles of five, similarity of 0.8 or more) the smallest doc_id.
 
     Documents without words are linked with nothing and stay; so do rows without a doc_id. Of rows that repeat
-    the smallest doc_id one stays.
+    the smallest doc_id one stays for each text.
     """
     found = jaccard_join.jaccard_components(docs.select("doc_id", "text"), n=5, percent=80)
     keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(keep.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.where("doc_id is not null").join(keep.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.union(docs.where("doc_id is null")).select(*docs.columns)
 
 
