@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -15,26 +17,44 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words kept in a Python worker's hash cache before it is emptied.
-CACHE_WORDS = 1_000_000
-#: Words taken together by the vectorised passes; bounds a worker's memory.
-BLOCK_WORDS = 400_000
+#: Bytes of text taken together by the vectorised passes; bounds a worker's memory.
+BLOCK_BYTES = 4_000_000
+#: Bytes whose powers are kept, and the longest word that is hashed with them.
+CHUNK, LONG_WORD = 1 << 18, 1024
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_POWER = 0x9E3779B97F4A7C17
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session (``spark.checkpoint.dir``); where unset, a local one of its own, as in tests."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session (as in tests) gets a folder of its own; on a cluster it is an error, since
+    executors would not see the driver's files.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = getattr(spark, "_siftwright_scratch", None)
         if path is None:
-            path = tempfile.mkdtemp(prefix="siftwright-")
+            if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            path = spark._siftwright_scratch = tempfile.mkdtemp(prefix="siftwright-")
             atexit.register(shutil.rmtree, path, True)
-            spark._siftwright_scratch = path
     return path.rstrip("/")
 
 
+@contextmanager
+def _shuffles_end_with_the_query(spark: SparkSession):
+    """Inside, a query's shuffle files go as soon as it ends: what it wrote is a table, nothing reads them again."""
+    old = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, old)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts its lineage.
 
@@ -42,23 +62,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siftwright/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+    with _shuffles_end_with_the_query(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._siftwright_path = path
+    return out
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table written by :func:`materialise` when no later step reads it."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
-
-def sweep(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of finished phases, which it does after a collection."""
-    gc.collect()
-    spark._jvm.System.gc()
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete the files of tables written by :func:`materialise` that no later step reads."""
+    for t in tables:
+        p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._siftwright_path)
+        p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def text_key(text: Column) -> list[Column]:
@@ -69,19 +84,6 @@ def text_key(text: Column) -> list[Column]:
     ]
 
 
-class WordHashes(dict):
-    """Word (bytes) to a 64-bit hash, remembered for the frequent ones."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64 bits."""
     x = x ^ (x >> np.uint64(30))
@@ -106,33 +108,109 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\v\f\r")] = True
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
+_LOWERED = _BYTE[[b + 32 if 65 <= b <= 90 else b for b in range(256)]]
+
+
+def _powers(base: int) -> np.ndarray:
+    out = np.full(CHUNK + LONG_WORD + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+_UP, _DOWN = _powers(_POWER), _powers(pow(_POWER, -1, 1 << 64))
+
+
+class Words(NamedTuple):
+    """Words of some rows one after another: 64-bit hashes, where each starts and ends in ``data``, and how many each row has."""
+
+    data: np.ndarray
+    hashes: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    counts: np.ndarray
+
+
+def _hash_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
+    space = _SPACE[data]
+    first, last = ~space, ~space
+    first[1:] &= space[:-1]
+    last[:-1] &= space[1:]
+    if len(data):
+        filled = np.diff(offsets) > 0
+        at, end = offsets[:-1][filled], offsets[1:][filled] - 1
+        first[at], last[end] = ~space[at], ~space[end]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    hashes, table = np.empty(len(starts), np.uint64), _LOWERED if lower else _BYTE
+    # a word is a polynomial in its bytes: a difference of running sums, moved to its start
+    cuts = np.searchsorted(starts, np.arange(0, len(data) + CHUNK, CHUNK))
+    for c, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])):
+        part = data[c * CHUNK : (c + 1) * CHUNK + LONG_WORD]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(table[part] * _UP[: len(part)], out=sums[1:])
+        s, e = starts[i:j] - c * CHUNK, np.minimum(ends[i:j] - c * CHUNK, len(part))
+        hashes[i:j] = mix((sums[e] - sums[s]) * _DOWN[s])
+    for i in np.flatnonzero(ends - starts > LONG_WORD):
+        word = data[starts[i] : ends[i]].tobytes()
+        hashes[i] = xxhash.xxh3_64_intdigest(word.lower() if lower else word)
+    return Words(data, hashes, starts, ends, np.diff(np.searchsorted(starts, offsets)))
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
 
-def blocks(batches: Iterator[pa.RecordBatch], lower: bool = False) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
-    """Slices of the batches of about BLOCK_WORDS words, with the words of each row (none for null).
+def blocks(batches: Iterator[pa.RecordBatch], lower: bool = False) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """Slices of the batches of about BLOCK_BYTES of text, one row at least, with the words of their rows (none for null).
 
-    Words are runs of bytes other than space, tab, line feed, vertical tab, form feed and carriage return.
+    Words are runs of bytes other than space, tab, line feed, vertical tab, form feed and carriage return; with
+    ``lower`` the letters A to Z count as lower case.
     """
     for batch in batches:
-        rows, n, start = [], 0, 0
-        for i, t in enumerate(texts_of(batch)):
-            w = [] if t is None else (t.lower() if lower else t).split()
-            rows.append(w)
-            n += len(w)
-            if n >= BLOCK_WORDS:
-                yield batch.slice(start, i + 1 - start), rows
-                rows, n, start = [], 0, i + 1
-        if rows:
-            yield batch.slice(start), rows
+        text = batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary())
+        offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int64)
+        data = np.frombuffer(text.buffers()[2], np.uint8) if len(text) and text.buffers()[2] is not None else np.empty(0, np.uint8)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES, "right")) - 1)
+            own = offsets[at : to + 1]
+            yield batch.slice(at, to - at), _hash_words(data[own[0] : own[-1]], own - own[0], lower)
+            at = to
+
+
+def groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """Whole groups of rows that come sorted by ``keys``, also where one lies across batches. Holds one batch and one group."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(b.num_rows, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        if held:
+            last = held[-1].slice(held[-1].num_rows - 1)
+            new[0] = any(last.column(last.schema.get_field_index(k))[0].as_py() != c[0] for k, c in zip(keys, cols))
+        at = 0
+        for cut in np.flatnonzero(new).tolist():
+            if cut > at:
+                held.append(b.slice(at, cut - at))
+            if held:
+                yield pa.Table.from_batches(held)
+                held = []
+            at = cut
+        held.append(b.slice(at))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a long, b long) as (node, component), component its smallest node.
 
     Alternating large-star and small-star steps: each step joins neighbours to their smallest one through
-    plain aggregations, so no component is ever held by one task. Ends when a pass changes nothing.
+    plain aggregations, so no component is ever held by one task. Ends when all nodes are joined to their smallest.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -148,11 +226,14 @@ def components(edges: DataFrame) -> DataFrame:
             out = out.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         return out.where("a <> b").distinct()
 
-    old = None
+    before = None
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     while True:
         e = materialise(star(star(e, True), False), "stars")
-        row = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (row.n, row.h) == old:
-            return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
-        old = (row.n, row.h)
+        if before is not None:
+            drop_tables(before)
+        before = e
+        # done when every node has one neighbour, which has none itself
+        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("b", F.lit(0), F.lit(1)))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 AND up > 0").isEmpty():
+            return e.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, sweep, text_key
+from .common import materialise, text_key
 
 WINDOW = 10
 SHINGLE = 3
@@ -93,7 +93,6 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Da
             spread = part if spread is None else spread.union(part)
         rows = spread.join(wanted, ["k", "h"]).groupBy("th", "tl", "n_words").agg(F.sort_array(F.collect_list(F.struct("k", "i", "h"))).alias("hits"))
     rows = materialise(rows, "texts")
-    sweep(d.sparkSession)
 
     # the rarest shingle of each window, by the corpus
     each = rows.select("th", "tl", "n_words", F.posexplode("hits").alias("at", "x"), "hits").select("th", "tl", "n_words", "at", "x.*", "hits")

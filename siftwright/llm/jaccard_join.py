@@ -1,245 +1,158 @@
 """N-gram Jaccard self-join with prefix trees.
 
-A document is its set of word n-grams, sorted by one global order: rare n-grams first, as counted over the whole
-corpus by a fixed-size table of counters (the exact hash breaks ties, so the order is total whatever the table
-holds). Two sets over the threshold must share one of the first few n-grams of that order, so each such n-gram is
-the root branch of a tree whose documents meet in one shuffle. Under a branch only pairs whose size and bucket
-bounds allow the threshold are tried, and pairs that are already connected are not tried again. Tried pairs are
-decided exactly: the partners of a document go into a radix tree of whole sets, commonest n-grams first, which
-is walked once; partners with common beginnings share the partial overlap, and a subtree is left as soon as what
-remains can't reach the threshold.
+A document is its set of word n-grams. Which documents can be linked at all is decided by prefixes, twice:
+
+* Of each set the n-grams of the lowest hashes are taken, some more than a prefix filter needs, so that two sets over
+  the threshold share not one but a known number of them. They are counted over the whole corpus, exactly. A document
+  with fewer shared ones than that number has no partner.
+* Of the shared ones the commonest, all but one of that number, can be left out again: what is left, rare n-grams
+  first by their exact count, still has one in common with every partner's.
+
+Documents with an n-gram in common there form a branch; branches of the same documents are one. Bounds by size and by
+bucket counts leave out the rows of a branch without a possible partner. The others' whole sets, in one order
+(commonest n-grams of the branch first), are stored in a radix tree, and all probes of the branch walk it together:
+a node adds its overlap with every probe once for all sets below it, and a probe leaves a subtree as soon as what
+remains can't reach the threshold. Large branches are cut into blocks of their documents, each probed by the same few
+leaders; what the leaders don't connect comes back in the next round with others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, materialise, signed, sweep, windows
+from .common import blocks, components, drop_tables, groups, materialise, signed, windows
 
-#: Counters of the order: their number is fixed, so is the size of what is broadcast (4 bytes each).
-COUNTERS = 1 << 18
-CHUNK = 1 << 12
+#: Hundredths of a set by which its prefix is longer than it must be.
+EXTRA = 10
 #: Buckets of a set's signature, which bounds the overlap of two sets from above.
-BUCKETS = 64
-#: Branches of up to this many documents are tried in one go; larger ones by leaders, 1, 4, 16... a round.
-SMALL = 32
-#: Partners in one tree.
-TREE = 256
+BUCKETS = 256
+#: Branches of up to so many documents and n-grams are joined in one go; larger ones by leaders against blocks of that size.
+SMALL, TOKENS = 128, 2_000_000
+#: Leaders of a large branch in the first rounds, and in each later one.
+LEADERS = (2, 16, 128)
 
 
-def _set_of(words: list[bytes], cache: WordHashes, n: int) -> np.ndarray:
-    if not words:
-        return np.empty(0, np.uint64)
-    wh = cache.array(words)
-    return np.unique(windows(wh, min(n, len(wh))))
+def _need(a, b, percent: int):
+    """Least overlap of sets of these sizes for 100 * intersection >= percent * union."""
+    return -(-percent * (a + b) // (100 + percent))
 
 
-def _signature(s: np.ndarray) -> bytes:
-    """Counts of the set's members in each bucket, 255 standing for any larger count."""
-    return np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
+    """Each row's set of n-gram hashes, sorted."""
+    for part, words in blocks(batches, lower=True):
+        grams, at = windows(words.hashes, n), 0
+        for i, k in enumerate(words.counts.tolist()):
+            s = np.sort(grams[at : at + k - n + 1] if k >= n else windows(words.hashes[at : at + k], max(k, 1)))
+            at += k
+            yield part, i, s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) > 1 else s
 
 
-def _word_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
-    cache = WordHashes()
-    for batch in batches:
-        texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary())
-        for i in range(batch.num_rows):
-            t = texts[i].as_py()
-            yield batch, i, _set_of([] if t is None else t.lower().split(), cache, n)
+def _prefix(size: int, percent: int) -> int:
+    need = -(-size * percent // 100)
+    return min(size, size - need + 1 + size * EXTRA // 100)
 
 
-def _key(s: np.ndarray) -> tuple[int, int]:
-    d = xxhash.xxh3_128_digest(s.tobytes())
-    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+#: How many n-grams of their prefixes any two linked documents share at least, by the size of one.
+_SHARED = f"(1 + ((size * {{percent}} + 99) div 100 * {EXTRA}) div 100)"
 
 
-def _describe(n: int):
-    """Per document its set's size, key and signature, and per task the counters of all n-grams in it."""
-    names = ["doc_id", "size", "s1", "s2", "sig", "chunk", "task", "counts"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
+def _describe(n: int, percent: int):
+    """Per document its set's size, 128-bit key and prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        counts, rows, task = np.zeros(COUNTERS, np.uint32), [], TaskContext.get().partitionId()
-        pending: list[np.ndarray] = []
+        rows: list[tuple] = []
+        heads: list[np.ndarray] = []
+        held = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal counts
-            if pending:
-                counts += np.bincount((np.concatenate(pending) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-                pending.clear()
-            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+            doc, size, s1, s2 = (pa.array(c, pa.int64()) for c in zip(*rows))
+            ends = np.concatenate(([0], np.cumsum([len(h) for h in heads]))).astype(np.int32)
+            pre = pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(np.concatenate(heads))))
             rows.clear()
-            return out
-
-        for batch, i, s in _word_sets(batches, n):
-            k = _key(s)
-            rows.append((batch.column(0)[i].as_py(), len(s), *k, _signature(s), None, None, None))
-            pending.append(s)
-            if len(rows) >= 2000:
+            heads.clear()
+            return pa.RecordBatch.from_arrays([doc, size, s1, s2, pre], ["doc_id", "size", "s1", "s2", "prefix"])
+
+        for part, i, s in _sets(batches, n):
+            d = xxhash.xxh3_128_digest(s.tobytes())
+            rows.append((part.column(0)[i].as_py(), len(s), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
+            heads.append(s[: _prefix(len(s), percent)])
+            held += len(heads[-1])
+            if held >= 500_000 or len(rows) >= 5000:
                 yield flush()
-        if rows:
-            yield flush()
-        for c in range(0, COUNTERS, CHUNK):
-            if counts[c : c + CHUNK].any():
-                rows.append((None, None, None, None, None, c // CHUNK, task, counts[c : c + CHUNK].astype(np.int64).tobytes()))
+                held = 0
         if rows:
             yield flush()
 
     return run
 
 
-def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum([np.frombuffer(b, np.int64) for b in pdf["counts"]], axis=0)
-    return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "part": [0], "counts": [total.tobytes()]})
-
-
-def _rank_keys(s: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Rank of each n-gram in the global order: its counter, then the upper half of its hash (sets come sorted by hash)."""
-    return (order[(s & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(32)) | (s >> np.uint64(32))
-
-
-def _ranks(s: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """The set in the global order, rarest first."""
-    return s[np.argsort(_rank_keys(s, order), kind="stable")]
-
+def _signature(s: np.ndarray) -> bytes:
+    """Counts of the set's members in each bucket, 255 standing for any larger count."""
+    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
 
-def _first(s: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
-    """The first k of the set in the global order, and any that tie with the last of them."""
-    keys = _rank_keys(s, order)
-    return s[keys <= np.partition(keys, k - 1)[k - 1]]
 
+def _whole(n: int):
+    """Whole sets and signatures of the rows whose key is the wanted one."""
 
-def _prefixes(n: int, percent: int, order, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toks: list[np.ndarray] = []
-        ids: list[np.ndarray] = []
+        rows: list[tuple] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(toks))), pa.array(np.concatenate(ids))], names)
-            toks.clear()
-            ids.clear()
-            return out
-
-        for batch, i, s in _word_sets(batches, n):
-            if not len(s):
-                continue
-            p = _first(s, order.value, len(s) - (percent * len(s) + 99) // 100 + 1)
-            toks.append(p)
-            ids.append(np.full(len(p), _key(s)[0], np.int64))
-            held += len(p)
-            if held >= 200_000:
+            cols = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))]
+            rows.clear()
+            return pa.RecordBatch.from_arrays(cols, ["sid", "size", "sig", "grams"])
+
+        for part, i, s in _sets(batches, n):
+            if int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "big", signed=True) != part.column(part.schema.get_field_index("s1"))[i].as_py():
+                continue  # another text of a repeated doc_id
+            rows.append((part.column(part.schema.get_field_index("sid"))[i].as_py(), len(s), _signature(s), s.tobytes()))
+            held += len(s)
+            if held >= 500_000 or len(rows) >= 5000:
                 yield flush()
                 held = 0
-        if toks:
-            yield flush()
-
-    return run
-
-
-def _with_key(n: int):
-    """Texts of the wanted sets, compressed for the shuffles ahead."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[int] = []
-        texts: list[bytes] = []
-        pack = zstandard.ZstdCompressor(level=3).compress
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.binary())], ["sid", "text"])
-            keys.clear()
-            texts.clear()
-            return out
-
-        for batch, i, s in _word_sets(batches, n):
-            k = _key(s)[0]
-            if k == batch.column(batch.schema.get_field_index("sid"))[i].as_py():
-                keys.append(k)
-                texts.append(pack(batch.column(batch.schema.get_field_index("text"))[i].as_py().encode()))
-            if len(keys) >= 2000:
-                yield flush()
-        if keys:
+        if rows:
             yield flush()
 
     return run
 
 
-def _need(a: int, b, percent: int):
-    """Least overlap of sets of these sizes for 100 * intersection >= percent * union."""
-    return -(-percent * (a + b) // (100 + percent))
-
-
-def _possible(size: np.ndarray, sig: np.ndarray, i: int, others: np.ndarray, percent: int) -> np.ndarray:
-    """Which of ``others`` can reach the threshold with row i, by the sizes and the signatures."""
-    need = _need(int(size[i]), size[others], percent)
-    m = np.minimum(sig[i], sig[others])
-    most = m.sum(axis=1, dtype=np.int64)
-    most[(m == 255).any(axis=1)] = np.iinfo(np.int64).max
-    return (np.minimum(size[i], size[others]) >= need) & (most >= need)
+def _outside(comp: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """Who has to probe: leaders outside the largest component; every pair of two components has such a one."""
+    if not lead.all():
+        return np.flatnonzero(lead)
+    kinds, which, count = np.unique(comp, return_inverse=True, return_counts=True)
+    return np.flatnonzero(which != np.argmax(count))
 
 
-def _tries(percent: int, leaders: int):
-    """From rows of a branch one after another: pairs worth trying, and what is left of large branches.
-
-    A branch of up to SMALL rows gives its pairs at once. Of a larger one the first ``leaders`` rows are held,
-    compared with each later row, and are done with; the later rows come back in the next round.
-    """
+def _screen(percent: int):
+    """Of each block's rows those with a partner that sizes and signatures allow."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, list] = {"tok": [], "sid": [], "rank": [], "size": [], "comp": [], "sig": []}
-        tok, rest = None, None
-
-        def pairs_of(pdf: pd.DataFrame, firsts: int) -> list[tuple[int, int]]:
-            size, comp, sid = pdf["size"].to_numpy(), pdf["comp"].to_numpy(), pdf["sid"].to_numpy()
-            sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(-1, BUCKETS)
-            out = []
-            for i in range(min(firsts, len(pdf) - 1)):
-                others = np.arange(i + 1, len(pdf))
-                others = others[comp[others] != comp[i]]
-                out += [(min(sid[i], sid[j]), max(sid[i], sid[j])) for j in others[_possible(size, sig, i, others, percent)]]
-            return out
-
-        for pdf in batches:
-            out: list[tuple] = []
-            for r in pdf.groupby("tok", sort=False):
-                g = r[1]
-                total = int(g["n"].iloc[0])
-                if total <= SMALL:
-                    # a small branch may lie across two batches
-                    if rest is not None and rest["tok"].iloc[0] == r[0]:
-                        g = pd.concat([rest, g])
-                    rest = g if len(g) < total else None
-                    if rest is None:
-                        out += [(a, b, None, None) for a, b in pairs_of(g, total)]
-                    continue
-                if tok != r[0]:
-                    tok, lead, seen = r[0], g.iloc[:0], 0
-                if len(lead) < leaders:
-                    more = g.iloc[: leaders - len(lead)]
-                    g2 = pd.concat([lead, more])
-                    out += [(a, b, None, None) for a, b in pairs_of(g2, len(g2))]
-                    g, lead = g.iloc[len(more) :], g2
-                for i in range(0, len(g), 4096):
-                    part = pd.concat([lead, g.iloc[i : i + 4096]])
-                    size, comp, sid = part["size"].to_numpy(), part["comp"].to_numpy(), part["sid"].to_numpy()
-                    sig = np.frombuffer(b"".join(part["sig"]), np.uint8).reshape(-1, BUCKETS)
-                    later = np.arange(len(lead), len(part))
-                    for k in range(len(lead)):
-                        o = later[comp[later] != comp[k]]
-                        out += [(min(sid[k], sid[j]), max(sid[k], sid[j]), None, None) for j in o[_possible(size, sig, k, o, percent)]]
-                out += [(None, None, r[0], x) for x in g["sid"]]
-            yield pd.DataFrame({k: pd.array([x[i] for x in out], dtype="Int64") for i, k in enumerate(("a", "b", "tok", "sid"))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, "tok", "block"):
+            size, comp, lead = (g.column(c).to_numpy(zero_copy_only=False) for c in ("size", "comp", "lead"))
+            sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint8).reshape(-1, BUCKETS)
+            first, keep = g.column("block")[0].as_py() == 0, np.zeros(len(size), bool)
+            for i in _outside(comp, lead):
+                # two leaders meet in the first block alone
+                others = np.flatnonzero((comp != comp[i]) if first else (comp != comp[i]) & ~lead)
+                need = _need(int(size[i]), size[others], percent)
+                fit = np.minimum(size[i], size[others]) >= need
+                others, need = others[fit], need[fit]
+                least = np.minimum(sig[i], sig[others])
+                most = least.sum(axis=1, dtype=np.int64)
+                most[(least == 255).any(axis=1)] = np.iinfo(np.int64).max
+                fit = others[most >= need]
+                keep[fit] = True
+                keep[i] |= len(fit) > 0
+            if keep.any():
+                yield from g.select(["tok", "block", "sid", "comp", "lead"]).filter(pa.array(keep)).combine_chunks().to_batches()
 
     return run
 
@@ -251,145 +164,175 @@ class _Node:
         self.run, self.below, self.ends, self.least, self.most = run, {}, [], least, most
 
 
-def _insert(root: _Node, s: np.ndarray, who: int) -> None:
-    node, at = root, 0
-    while True:
-        node.least, node.most = min(node.least, len(s)), max(node.most, len(s))
-        if at == len(s):
-            node.ends.append(who)
-            return
-        child = node.below.get(s[at])
-        if child is None:
-            node.below[s[at]] = new = _Node(s[at:], len(s), len(s))
-            new.ends.append(who)
-            return
-        m = min(len(child.run), len(s) - at)
-        differ = np.flatnonzero(child.run[:m] != s[at : at + m])
-        k = int(differ[0]) if len(differ) else m
-        if k < len(child.run):  # part the branch
-            upper = _Node(child.run[:k], child.least, child.most)
-            child.run = child.run[k:]
-            upper.below[child.run[0]] = child
-            node.below[s[at]] = child = upper
-        node, at = child, at + k
-
-
-def tree_overlaps(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> list[int]:
-    """Which ``sets`` (each in one global order) reach the threshold with ``probe``, by one walk of their tree."""
-    root = _Node(probe[:0], len(sets[0]), len(sets[0]))
-    for i, s in enumerate(sets):
-        _insert(root, s, i)
-    mine, n, found = np.sort(probe), len(probe), []
-    todo = [(root, 0, 0)]
-    while todo:
-        node, depth, overlap = todo.pop()
-        if len(node.run):
-            at = np.searchsorted(mine, node.run)
-            at[at == n] = n - 1
-            overlap += int((mine[at] == node.run).sum())
-            depth += len(node.run)
-        found += [who for who in node.ends if overlap >= _need(n, depth, percent)]
-        for child in node.below.values():
-            most = overlap + min(child.most - depth, n - overlap)
-            if most >= _need(n, child.least, percent):
-                todo.append((child, depth, overlap))
-    return found
-
-
-def _verify(n: int, percent: int, order):
+class PrefixTree:
+    """Sets of numbers, each sorted, as a radix tree; a node knows the least and the largest size of the sets below it."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.root = _Node(np.empty(0, np.int64), 1 << 60, 0)
+        for who, s in enumerate(sets):
+            self._insert(s, who)
+
+    def _insert(self, s: np.ndarray, who: int) -> None:
+        node, at = self.root, 0
+        while True:
+            node.least, node.most = min(node.least, len(s)), max(node.most, len(s))
+            if at == len(s):
+                node.ends.append(who)
+                return
+            child = node.below.get(s[at])
+            if child is None:
+                node.below[s[at]] = new = _Node(s[at:], len(s), len(s))
+                new.ends.append(who)
+                return
+            m = min(len(child.run), len(s) - at)
+            differ = np.flatnonzero(child.run[:m] != s[at : at + m])
+            k = int(differ[0]) if len(differ) else m
+            if k < len(child.run):  # part the branch
+                upper = _Node(child.run[:k], child.least, child.most)
+                child.run = child.run[k:]
+                upper.below[child.run[0]] = child
+                node.below[s[at]] = child = upper
+            node, at = child, at + k
+
+    def linked(self, probes: list[np.ndarray], width: int, percent: int) -> Iterator[tuple[np.ndarray, int]]:
+        """(probes, stored set) that reach the threshold: one walk for all probes. Numbers are below ``width``."""
+        size = np.array([len(p) for p in probes], np.int64)
+        # which probes have a number
+        numbers = np.concatenate(probes)
+        order = np.argsort(numbers, kind="stable")
+        having = np.repeat(np.arange(len(probes)), size)[order]
+        at = np.searchsorted(numbers[order], np.arange(width + 1))
+        todo = [(self.root, 0, np.arange(len(probes)), np.zeros(len(probes), np.int64))]
+        while todo:
+            node, depth, who, overlap = todo.pop()
+            if len(node.run):
+                start, count = at[node.run], at[node.run + 1] - at[node.run]
+                places = np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
+                overlap = overlap + np.bincount(having[places], minlength=len(probes))[who]
+                depth += len(node.run)
+            if node.ends:
+                reach = who[overlap >= _need(size[who], depth, percent)]
+                if len(reach):
+                    yield from ((reach, e) for e in node.ends)
+            for child in node.below.values():
+                most = overlap + np.minimum(child.most - depth, size[who] - overlap)
+                on = most >= _need(size[who], child.least, percent)
+                if on.any():
+                    todo.append((child, depth, who[on], overlap[on]))
+
+
+def tree_links(sets: list[np.ndarray], probes: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs (probe, other) of these sets over the threshold, by one tree of them all."""
+    numbers, own, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.empty(len(numbers), np.int64)
+    place[np.argsort(-count, kind="stable")] = np.arange(len(numbers))  # commonest first
+    cuts = np.cumsum([len(s) for s in sets])[:-1]
+    ordered = [np.sort(x) for x in np.split(place[own], cuts)]
+    for reach, other in PrefixTree(ordered).linked([ordered[i] for i in probes], len(numbers), percent):
+        yield from ((int(i), other) for i in probes[reach] if i != other)
+
+
+def _walk(percent: int):
+    """Links of components within each block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress
-
-        def ordered(t: bytes) -> np.ndarray:
-            return _ranks(_set_of(unpack(t).lower().split(), cache, n), order.value)[::-1]
-
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            ta, tb = batch.column("ta"), batch.column("tb")
-            out: list[tuple[int, int]] = []
-            for _, rows in groupby(range(len(a)), key=lambda i: a[i]):
-                rows = list(rows)
-                probe = ordered(ta[rows[0]].as_py())
-                for k in range(0, len(rows), TREE):
-                    part = rows[k : k + TREE]
-                    out += [(a[part[i]], b[part[i]]) for i in tree_overlaps(probe, [ordered(tb[i].as_py()) for i in part], percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+        for g in groups(batches, "tok", "block"):
+            comp, lead = (g.column(c).to_numpy(zero_copy_only=False) for c in ("comp", "lead"))
+            probes = _outside(comp, lead)
+            if not len(probes):
+                continue
+            sets = [np.frombuffer(x, np.uint64) for x in g.column("grams").to_pylist()]
+            found = {(min(comp[i], comp[j]), max(comp[i], comp[j])) for i, j in tree_links(sets, probes, percent) if comp[i] != comp[j]}
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*found)], ["a", "b"])
 
     return run
 
 
+def _round(live: DataFrame, whole: DataFrame, leaders: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Links (a, b) of components by the branches ``live`` (tok, sid, size, comp), and the (tok, sid) still to be tried, if any."""
+    span = live.groupBy("tok").agg(F.count("*").alias("n"), F.sum("size").alias("grams"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    cut = F.greatest(F.ceil(F.col("n") / SMALL), F.ceil(F.col("grams") / TOKENS))
+    rows = materialise(live.join(span.select("tok", cut.cast("int").alias("blocks")), "tok"), "rows")
+    large = rows.where("blocks > 1").withColumn("lead", F.lit(False))
+    if any_large := not large.isEmpty():
+        # (the limit on the place is applied in each task before the shuffle)
+        place = F.row_number().over(Window.partitionBy("tok").orderBy(F.xxhash64("sid"), "sid"))
+        first = large.select("tok", "sid").withColumn("place", place).where(F.col("place") <= leaders).select("tok", "sid", F.lit(True).alias("lead"))
+        large = materialise(large.drop("lead").join(first, ["tok", "sid"], "left").withColumn("lead", F.coalesce("lead", F.lit(False))), "large")
+    own = F.array(F.pmod(F.xxhash64("sid", F.lit(1)), F.col("blocks")).cast("int"))
+    block = F.when(F.col("lead"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)
+    cols = ["tok", "sid", "size", "comp", "lead"]
+    dealt = large.select(*cols, F.explode(block).alias("block")).unionByName(rows.where("blocks = 1").withColumn("lead", F.lit(True)).select(*cols, F.lit(0).alias("block")))
+    by = ["tok", "block"]
+    dealt = dealt.join(whole.select("sid", "sig"), "sid").repartition(*by).sortWithinPartitions(*by, "sid")
+    kept = materialise(dealt.mapInArrow(_screen(percent), "tok long, block int, sid long, comp long, lead boolean"), "screened")
+    full = kept.join(whole.select("sid", "grams"), "sid").repartition(*by).sortWithinPartitions(*by, "sid")
+    links = materialise(full.mapInArrow(_walk(percent), "a long, b long").distinct(), "links")
+    drop_tables(kept, rows)
+    return links, large.where("NOT lead").select("tok", "sid") if any_large else None
+
+
+def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` (sid, size, comp) with the components that ``links`` (a, b) of components make."""
+    if links.isEmpty():
+        return label
+    new = components(links)
+    return materialise(label.join(new, label["comp"] == new["node"], "left").select("sid", "size", F.coalesce("component", "comp").alias("comp")), "labels")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Components of the links between documents whose n-gram sets reach ``percent`` hundredths of Jaccard.
 
     Takes ``doc_id`` and ``text`` of ``docs`` (other columns are ignored) and returns doc_id, n_shingles and
     component_id, the smallest doc_id that links reach. Words are lower-cased (A-Z only) and separated by ASCII
     white space; a text of fewer than ``n`` words has its whole sequence as its one n-gram; a null or empty text
-    has the empty set and is linked with nothing. Rows that repeat a doc_id count as one node of the graph. A
-    row with a null doc_id is linked with nothing and its component_id is null. Empty tables give empty results.
+    has the empty set and is linked with nothing. Rows that repeat a doc_id are one node, linked by any of its
+    texts; n_shingles is each row's own. A row with a null doc_id is linked with nothing and its component_id is
+    null. Empty tables give empty results.
     """
-    spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    told = materialise(
-        d.mapInArrow(_describe(n), "doc_id long, size long, s1 long, s2 long, sig binary, chunk int, task int, counts binary"), "sets"
-    )
-    each = told.where("chunk is null").select("doc_id", "size", "s1", "s2", "sig")
-    schema = "chunk int, part int, counts binary"
-    counts = told.where("chunk is not null").withColumn("part", F.expr("task div 256")).groupBy("chunk", "part").applyInPandas(_add_up, schema)
-    table = np.zeros(COUNTERS, np.int64)
-    # (counts of 2^32 and more would tie)
-    for r in counts.groupBy("chunk").applyInPandas(_add_up, schema).collect():  # of a fixed size
-        table[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.minimum(np.frombuffer(r.counts, np.int64), 2**32 - 1)
-    order = spark.sparkContext.broadcast(table)
+    told = materialise(d.mapInArrow(_describe(n, percent), "doc_id long, size long, s1 long, s2 long, prefix array<long>"), "sets")
 
     # one class for each set; its smallest doc_id stands for it
-    classes = each.where("size > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("sig").alias("sig"))
-    classes = materialise(classes.withColumnRenamed("s1", "sid"), "classes")
-    real = d.where("doc_id is not null and text is not null")
-    pre = real.mapInArrow(_prefixes(n, percent, order, ["tok", "sid"]), "tok long, sid long")
-    shared = materialise(pre.groupBy("tok").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a < b").select("tok"), "branches")
-    sweep(spark)
-    branch = materialise(pre.join(shared, "tok").groupBy("tok", "sid").agg(F.lit(1).alias("one")).select("tok", "sid"), "members")
-    sweep(spark)
+    real = told.where("size > 0 AND doc_id IS NOT NULL")
+    classes = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.any_value("size").alias("size"), F.any_value("prefix").alias("prefix"))
+    classes = materialise(classes.withColumn("sid", F.monotonically_increasing_id()), "classes")  # (fixed once it is written)
+
+    # exact counts of the prefixes' n-grams; what only one class has is of no use
+    heads = classes.select("sid", F.expr(_SHARED.format(percent=percent)).cast("int").alias("k"), F.explode("prefix").alias("tok"))
+    counts = materialise(heads.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1"), "counts")
+    mine = heads.join(counts.hint("shuffle_hash"), "tok").groupBy("sid", "k").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("t"))
+    mine = mine.where("size(t) >= k").select("sid", F.explode(F.expr("slice(t, 1, size(t) - k + 1)")).alias("t"))
+    rare = materialise(mine.select("sid", F.col("t.tok").alias("tok")), "rare")
     # branches with the same documents are one: told by their number and by two hashes of the set
     marks = [F.bit_xor(F.xxhash64("sid", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
-    sets = branch.groupBy("tok").agg(F.count("*").alias("n"), *marks).where("n > 1")
-    branch = materialise(branch.join(sets.groupBy("n", "x0", "x1").agg(F.min("tok").alias("tok")).select("tok"), "tok"), "distinct")
-    sweep(spark)
-    used = classes.join(branch.select("sid").distinct(), "sid").select("sid", F.col("rep").alias("doc_id"))
-    texts = materialise(real.join(used.hint("shuffle_hash"), "doc_id").mapInArrow(_with_key(n), "sid long, text binary").dropDuplicates(["sid"]), "texts")
-    sweep(spark)
-
-    label = classes.select("sid", F.col("rep").alias("comp"))
-    tried, leaders = None, 1
-    while True:
-        info = classes.select("sid", "size", "sig").join(label, "sid")
-        rows = branch.join(info, "sid")
-        span = rows.groupBy("tok").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok", "n")
-        rows = rows.join(span, "tok").select("tok", "sid", "size", "comp", "sig", "n")
-        rows = rows.repartition("tok").sortWithinPartitions("tok", "sid")
-        step = materialise(rows.mapInPandas(_tries(percent, leaders), "a long, b long, tok long, sid long"), "tries")
-        pairs = step.where("a is not null").select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        left = texts.withColumnsRenamed({"sid": "b", "text": "tb"})
-        right = texts.withColumnsRenamed({"sid": "a", "text": "ta"})
-        sure = pairs.join(left, "b").join(right, "a").select("a", "b", "ta", "tb").mapInArrow(_verify(n, percent, order), "a long, b long")
-        sure = materialise(sure, "links")
-        sweep(spark)
-        if not sure.isEmpty():
-            old = label.withColumnsRenamed({"comp": "old"})
-            edges = sure.join(old.withColumnsRenamed({"sid": "a", "old": "ca"}), "a").join(old.withColumnsRenamed({"sid": "b", "old": "cb"}), "b")
-            merged = components(edges.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-            label = old.join(merged, old["old"] == merged["node"], "left").select("sid", F.coalesce("component", "old").alias("comp"))
-            label = materialise(label, "labels")
-            sweep(spark)
-        branch = step.where("tok is not null").select("tok", "sid")
-        if branch.isEmpty():
-            break
-        leaders *= 4
-    found = classes.select(F.col("sid").alias("s1"), "s2", "rep").join(label.withColumnRenamed("sid", "s1"), "s1")
-    return each.join(found, ["s1", "s2"], "left").select(
-        "doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id")
-    )
+    same = rare.groupBy("tok").agg(F.count("*").alias("n"), *marks).where("n > 1").groupBy("n", "x0", "x1").agg(F.min("tok").alias("tok"))
+    branch = materialise(rare.join(same.select("tok", "n"), "tok"), "branches")
+
+    # whole sets of the documents that are left
+    used = materialise(classes.join(branch.select("sid").distinct(), "sid").select("sid", "size", "s1", "rep"), "used")
+    texts = d.where("text IS NOT NULL").join(used.select("sid", "s1", F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id")
+    whole = texts.select("sid", "s1", "text").mapInArrow(_whole(n), "sid long, size long, sig binary, grams binary").dropDuplicates(["sid"])
+    whole = materialise(whole, "whole")
+    drop_tables(counts, rare)
+
+    # first each document in its largest branch, where copies of many meet; then in all of them
+    label = used.select("sid", "size", F.col("rep").alias("comp"))
+    largest = branch.groupBy("sid").agg(F.max(F.struct("n", "tok")).alias("x")).select(F.col("x.tok").alias("tok"), "sid")
+    links, _ = _round(largest.join(label, "sid"), whole, LEADERS[0], percent)
+    label = _merged(label, links)
+    left, turn = branch.select("tok", "sid"), 0
+    while left is not None:
+        links, left = _round(left.join(label, "sid"), whole, LEADERS[min(turn, len(LEADERS) - 1)], percent)
+        label, turn = _merged(label, links), turn + 1
+
+    comps = classes.select("s1", "s2", "sid", "rep").join(label.select("sid", "comp"), "sid", "left").select("s1", "s2", F.coalesce("comp", "rep").alias("comp"))
+    out = told.select("doc_id", F.col("size").alias("n_shingles"), "s1", "s2").join(comps, ["s1", "s2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("comp")).alias("comp"))
+    # a repeated doc_id ties the components of its texts together
+    ids = out.where("comp IS NOT NULL").groupBy("doc_id").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    ties = materialise(out.join(ids.select("doc_id", "lo"), "doc_id").where("comp > lo").select(F.col("lo").alias("a"), F.col("comp").alias("b")).distinct(), "ties")
+    if not ties.isEmpty():
+        new = components(ties)
+        out = out.join(new, out["comp"] == new["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "comp").alias("comp"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))

@@ -6,12 +6,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 from oracle import compare
 from pyspark.sql import functions as F
 
-from siftwright.llm import compression_quality, decontaminate, jaccard_join, line_dedup, mixing, queries, quality_rules, sharding, substring_dedup, token_counts, toxicity
+from siftwright.llm import common, compression_quality, decontaminate, jaccard_join, line_dedup, mixing, queries, quality_rules, sharding, substring_dedup, token_counts, toxicity
 from siftwright.llm.common import components
 from siftwright.llm.fitting import fit_logistic
 
@@ -117,12 +118,64 @@ def test_jaccard_brute_force(spark):
     jaccard_join.SMALL = 32
 
 
-def test_tree_overlaps():
+def test_prefix_tree_finds_all_pairs():
     rng = np.random.default_rng(1)
-    probe = rng.permutation(200).astype(np.uint64)
-    sets = [np.array([x for x in probe if rng.random() < p] + [1000 + i for i in range(k)], np.uint64) for p in (1, 0.9, 0.5) for k in (0, 10, 60)]
-    want = [i for i, s in enumerate(sets) if 100 * len(set(s.tolist()) & set(probe.tolist())) >= 80 * len(set(s.tolist()) | set(probe.tolist()))]
-    assert sorted(jaccard_join.tree_overlaps(probe, sets, 80)) == want
+    whole = np.sort(rng.permutation(5000)[:200]).astype(np.uint64)
+    sets = [np.array([x for x in whole if rng.random() < p] + [9000 + i for i in range(k)], np.uint64) for p in (1, 0.97, 0.9, 0.5) for k in (0, 10, 60)] + [whole, whole[:1]]
+    as_sets = [set(s.tolist()) for s in sets]
+    probes = np.array([0, 3, 4, 12])
+    want = {(int(i), j) for i in probes for j in range(len(sets)) if i != j and 100 * len(as_sets[i] & as_sets[j]) >= 80 * len(as_sets[i] | as_sets[j])}
+    assert set(jaccard_join.tree_links(sets, probes, 80)) == want and len(want) > 10
+
+
+def test_words_of_blocks(monkeypatch):
+    texts = ["a  b\tc", "", None, " ", "Ab aB", "x" * 3000 + " y", "ends ", " b\x0b\x0cé a\u00a0b", "z" * 1023 + "\n" + "z" * 1024]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    monkeypatch.setattr(common, "BLOCK_BYTES", 40)
+    for lower in (False, True):
+        seen: dict[int, bytes] = {}
+        rows = 0
+        for part, words in common.blocks(iter([batch.slice(0, 4), batch.slice(4)]), lower):
+            at = 0
+            for i, n in zip(part.column(0).to_pylist(), words.counts):
+                t = (texts[i] or "").encode()
+                want = (t.lower() if lower else t).split()
+                assert n == len(want)
+                for w, h in zip(want, words.hashes[at : at + n].tolist()):
+                    assert seen.setdefault(h, w) == w
+                at, rows = at + n, rows + 1
+        assert rows == len(texts) and len(set(seen.values())) == len(seen)
+
+
+def test_groups_across_batches():
+    t = pa.table({"k": [1, 1, 2, 2, 2, 3], "b": [0, 1, 0, 0, 0, 0], "v": range(6)})
+    for size in (1, 2, 4, 6):
+        got = [g.column("v").to_pylist() for g in common.groups(iter(t.to_batches(size)), "k", "b")]
+        assert got == [[0], [1], [2, 3, 4], [5]]
+
+
+def test_levels_double():
+    assert substring_dedup.lengths(13, 4) == [4, 8, 13] and substring_dedup.lengths(13, 13) == [13] and substring_dedup.lengths(50, 3) == [3, 6, 12, 24, 48, 50]
+
+
+def test_substring_levels_agree(spark):
+    rnd = random.Random(8)
+    shared = [[rnd.choice("abcdefgh") for _ in range(rnd.randrange(5, 30))] for _ in range(12)]
+    texts = [" ".join(w for _ in range(4) for w in [*rnd.choice(shared), *(rnd.choice("xyzuvw") for _ in range(3))]) for _ in range(40)]
+    docs = spark.createDataFrame([*enumerate(texts), (99, texts[3]), (100, None)], "doc_id long, text string")
+    words = {i: t.split() for i, t in [*enumerate(texts), (99, texts[3])]}
+    first = {}
+    for i in sorted(words):
+        for j in range(len(words[i]) - 6):
+            first.setdefault(tuple(words[i][j : j + 7]), i)
+    want = {100: ""}
+    for i, w in words.items():
+        gone = {j + k for j in range(len(w) - 6) if first[tuple(w[j : j + 7])] < i for k in range(7)}
+        want[i] = " ".join(x for j, x in enumerate(w) if j not in gone)
+    for base in (2, 7):
+        assert {r.doc_id: r.kept_text for r in substring_dedup.substring_dedup(docs, 7, base, with_text=True).collect()} == want
+    alone = spark.createDataFrame([(1, "a b c d e f g h"), (2, "i j k l m n o p")], "doc_id long, text string")
+    assert all(r.n_removed == 0 for r in substring_dedup.substring_dedup(alone, 7, 2).collect())
 
 
 def test_components(spark):
