@@ -67,7 +67,10 @@ def _by_first(patterns: tuple[str, ...]) -> str:
 
 # two patterns that end in a repeat of their first character stay whole
 _WHOLE = tuple(p for p in FILLERS_CN if len(p) == 2 and p[1] == "+")
-FILLER = "(?iu)" + _by_first(tuple(p for p in (*FILLERS_CN, *FILLERS_EN) if p not in _WHOLE)) + "|" + "|".join(_WHOLE)
+_PLAIN = tuple(p for p in (*FILLERS_CN, *FILLERS_EN) if p not in _WHOLE)
+#: First characters of all fillers: one test rules most places out. (A pattern that opens with a group can start anywhere near its letter.)
+_FIRSTS = "".join(sorted({p[0].lower() for p in _PLAIN if p[0] not in "(\\"} | {"你", *"了吧呢啊呀嘛"}))
+FILLER = f"(?iu)(?=[{_FIRSTS}])(?:{_by_first(_PLAIN)})|" + "|".join(_WHOLE)
 #: Searched anywhere in the line, or anchored at its start.
 TOOL_LINE = "(?imu)" + "|".join(f"(?:{p})" for p in TOOL_LINES)
 TOOL_LINE_START = "(?iu)^(?:" + "|".join(f"(?:{p})" for p in TOOL_LINES) + ")"
@@ -149,18 +152,65 @@ def confidence(reason: Column) -> Column:
     return F.create_map(*(F.lit(x) for kv in CONFIDENCE.items() for x in kv))[reason]
 
 
+#: Characters of one step of the walk below: what a step leaves out is put together before it joins the rest.
+STEP = 64
+
+
 def removed_text(original: Column, cleaned: Column) -> Column:
     """What a greedy walk along both texts leaves out of the cleaned one, trimmed."""
-    chars = F.split(cleaned, "")
-    step = F.aggregate(
-        F.split(original, ""),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda s, c: F.when(F.get(chars, s["at"]) == c, F.struct((s["at"] + 1).alias("at"), s["out"].alias("out"))).otherwise(
-            F.struct(s["at"].alias("at"), F.concat(s["out"], c).alias("out"))
-        ),
-        lambda s: s["out"],
-    )
-    return strip(step)
+
+    def walk(both: Column) -> Column:
+        old, new = both["old"], both["new"]
+
+        def char(s: Column, c: Column) -> Column:
+            same = F.get(new, s["at"]) == c
+            return F.struct((s["at"] + F.when(same, 1).otherwise(0)).alias("at"), F.when(same, s["out"]).otherwise(F.concat(s["out"], c)).alias("out"))
+
+        def step(s: Column, i: Column) -> Column:
+            part = F.aggregate(F.slice(old, i * STEP + 1, STEP), F.struct(s["at"].alias("at"), F.lit("").alias("out")), char)
+            return F.transform(F.array(part), lambda p: F.struct(p["at"].alias("at"), F.concat(s["out"], p["out"]).alias("out")))[0]
+
+        steps = F.sequence(F.lit(0), F.floor((F.size(old) - 1) / STEP).cast("int"))
+        return F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: s["out"])
+
+    texts = F.struct(F.split(original, "").alias("old"), F.split(cleaned, "").alias("new"))
+    return strip(F.transform(F.array(texts), walk)[0])
+
+
+def segments(content: Column) -> Column:
+    """A message's classified segments in order, one expression: system tags, blank and metadata lines, fragments with and without fillers.
+
+    An array of (line, pos, text, reason); of a blank message an empty one.
+    """
+
+    def piece(line: Column, pos: Column, text: Column, reason: Column) -> Column:
+        return F.struct(line.cast("int").alias("line"), pos.cast("int").alias("pos"), text.alias("text"), reason.alias("reason"))
+
+    def of_fragment(line: Column, frag: Column, p: Column) -> Column:
+        def both(clean: Column) -> Column:
+            same = F.array(piece(line, p * 2, frag, F.when(clean == "", "filler_only").otherwise(fragment_reason(clean))))
+            kept = piece(line, p * 2, clean, F.lit("cleaned_from_filler"))
+            gone = piece(line, p * 2 + 1, removed_text(frag, clean), F.lit("inline_filler"))
+            return F.when((clean == "") | (clean == frag), same).otherwise(F.filter(F.array(kept, gone), lambda x: x["text"] != ""))
+
+        return F.transform(F.array(strip_fillers(frag)), both)[0]
+
+    def of_line(text: Column, i: Column) -> Column:
+        def whole(s: Column) -> Column:
+            pieces = F.flatten(F.transform(fragments(text), lambda f, p: of_fragment(i, f, p)))
+            return F.when(s == "", F.array(piece(i, F.lit(0), text, F.lit("empty_line")))).when(is_tool_noise(s), F.array(piece(i, F.lit(0), text, F.lit("tool_metadata")))).otherwise(pieces)
+
+        return F.transform(F.array(strip(text)), whole)[0]
+
+    tags = F.transform(system_tags(content), lambda t, i: piece(F.lit(-1), i, t, F.lit("system_tag")))
+    lines = F.flatten(F.transform(F.split(without_tags(content), "\n"), of_line))
+    return F.when(strip(content) != "", F.concat(tags, lines)).otherwise(F.filter(tags, lambda x: F.lit(False)))
+
+
+def signal_text(content: Column) -> Column:
+    """A message's signal segments joined by spaces; without any, the message as it is."""
+    signal = F.transform(F.filter(segments(content), lambda x: ~x["reason"].isin(NOISE)), lambda x: x["text"])
+    return F.transform(F.array(signal), lambda t: F.when(F.size(t) > 0, F.array_join(t, " ")).otherwise(content))[0]
 
 
 def plugin_rules(text: Column) -> Column:

@@ -31,6 +31,12 @@ def conv_tokens(messages: DataFrame) -> DataFrame:
     )
 
 
+def block_tokens(blocks: Column) -> Column:
+    """The plugin's estimate of a message whose content is a list of blocks (type, text): 4, and that of each block with text."""
+    texts = F.filter(F.transform(blocks, lambda b: b["text"]), lambda t: t.isNotNull() & (t != ""))
+    return 4 + F.aggregate(F.transform(texts, tokens.plugin), F.lit(0).cast("long"), lambda n, t: n + t.cast("long"))
+
+
 def risk_policy(messages: DataFrame) -> DataFrame:
     """Per conversation: distinct risk and noise keywords, share of tool and assistant text, and the policy.
 
@@ -68,14 +74,20 @@ def jaccard(a: Column, b: Column, both_empty: float = 0.0) -> Column:
 
 
 def duplicate_ratio(messages: DataFrame, most: int = 30) -> DataFrame:
-    """Share of similar pairs among the first ``most`` messages of each conversation; short ones count as pairs."""
+    """Share of similar pairs among the first ``most`` messages of each conversation; short ones count as pairs.
+
+    Similar: the trigrams in common are more than six tenths of all. They are compared as 64-bit hashes, and only in pairs
+    whose numbers of trigrams allow it.
+    """
     w = Window.partitionBy("conv_id").orderBy("turn")
     m = messages.withColumn("i", F.row_number().over(w)).where(F.col("i") <= most)
+    hashes = F.when(F.length("content") >= 20, F.transform(char_ngrams(F.col("content"), 3), lambda g: F.xxhash64(g)))
     # the bounded list of a conversation is compared inside its own row
-    lists = m.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("i", F.length("content").alias("n"), char_ngrams(F.col("content"), 3).alias("g")))).alias("m"))
-    pairs = F.size("m") * (F.size("m") - 1) / 2
+    lists = m.groupBy("conv_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(hashes.isNotNull(), F.struct("i", F.size(hashes).alias("n"), hashes.alias("g"))))).alias("m"))
+    pairs = F.col("n") * (F.col("n") - 1) / 2
     similar = F.expr(
-        "aggregate(m, 0, (t, a) -> t + size(filter(m, b -> b.i > a.i AND a.n >= 20 AND b.n >= 20 AND size(array_intersect(a.g, b.g)) > 0.6D * size(array_union(a.g, b.g)))))"
+        "aggregate(m, 0, (t, a) -> t + size(filter(m, b -> b.i > a.i AND least(a.n, b.n) > 0.6D * greatest(a.n, b.n)"
+        " AND size(array_intersect(a.g, b.g)) * 1.6D > 0.6D * (a.n + b.n))))"
     )
     return lists.select("conv_id", pairs.cast("long").alias("pairs"), similar.cast("long").alias("similar"), (similar / F.greatest(pairs, F.lit(1))).alias("duplicate_ratio"))
 
@@ -176,23 +188,43 @@ def latest_keywords(messages: DataFrame, cjk: bool = True) -> DataFrame:
     return last.where(~has).drop("t").unionByName(more)
 
 
-def repeated_instructions(messages: DataFrame, limit: float = 0.6) -> DataFrame:
-    """User messages whose instruction a later one of the conversation repeats: equal, contained, or by bigrams."""
+def repeated_instructions(messages: DataFrame, percent: int = 60) -> DataFrame:
+    """User messages whose instruction a later one of the conversation repeats: equal, contained, or alike by bigrams.
+
+    Alike: the bigrams in common are more than ``percent`` hundredths of all. Equal instructions are compared once. Of two
+    that are alike or contained, the shorter one's rarest bigrams in the conversation meet the other's in an equi-join: a
+    set that shares so many must share one of its first few.
+    """
     k = messages.where("role = 'user'").select("conv_id", "turn", rules.instruction_key(F.col("content")).alias("key")).where("key <> ''")
-    # equal instructions are compared once, by their last turn
-    g = k.groupBy("conv_id", "key").agg(F.max("turn").alias("last")).withColumn("g", char_ngrams(F.col("key"), 2))
-    a, b = g.alias("a"), g.alias("b")
-    same = (F.col("a.key") == F.col("b.key")) | F.contains("a.key", "b.key") | F.contains("b.key", "a.key") | (jaccard(F.col("a.g"), F.col("b.g")) > limit)
-    last = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & same).groupBy("a.conv_id", "a.key").agg(F.max("b.last").alias("last"))
-    return k.join(last, ["conv_id", "key"]).where("turn < last").select("conv_id", "turn", "key")
+    last = k.groupBy("conv_id", "key").agg(F.max("turn").alias("last"))
+    # instructions have two characters at least, so each has a bigram
+    grams = last.select("conv_id", "key", F.explode(char_ngrams(F.col("key"), 2)).alias("gram"))
+    often = grams.groupBy("conv_id", "gram").agg(F.count("*").alias("n"))
+    ranked = grams.join(often, ["conv_id", "gram"]).groupBy("conv_id", "key").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g"))
+    few = F.expr(f"slice(g, 1, size(g) - (size(g) * {percent} + 99) div 100 + 1)")
+    heads = ranked.select("conv_id", F.col("key").alias("short"), F.explode(F.transform(few, lambda x: x["gram"])).alias("gram"))
+    pairs = heads.join(grams, ["conv_id", "gram"]).where("short <> key").select("conv_id", "short", "key").distinct()
+    a, b = (char_ngrams(F.col(c), 2) for c in ("short", "key"))
+    both = F.size(F.array_intersect(a, b))
+    pairs = pairs.where(F.contains("key", "short") | (100 * both > percent * (F.size(a) + F.size(b) - both)))
+    sides = pairs.union(pairs.select("conv_id", "key", "short")).join(last, ["conv_id", "key"]).select("conv_id", F.col("short").alias("key"), "last")
+    latest = last.union(sides).groupBy("conv_id", "key").agg(F.max("last").alias("last"))
+    return k.join(latest, ["conv_id", "key"]).where("turn < last").select("conv_id", "turn", "key")
+
+
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\w一-鿿]+"), F.lit(0)))
+
+
+def is_echo(role: Column, text: Column, system: Column, threshold: float = 0.8) -> Column:
+    """Whether a short user or assistant text only repeats the words of a system text; never null."""
+    return F.coalesce(role.isin("user", "assistant") & (F.length(text) < 200) & (jaccard(_words(system), _words(text)) > threshold), F.lit(False))
 
 
 def without_echoes(messages: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Messages without short user and assistant ones that only repeat the words of the conversation's first system text."""
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)[\w一-鿿]+"), F.lit(0)))
-    system = last_user_first_system(messages).select("conv_id", words(F.col("first_system")).alias("_s"))
-    echo = F.col("role").isin("user", "assistant") & (F.length("content") < 200) & (jaccard(F.col("_s"), words(F.col("content"))) > threshold)
-    return messages.join(system, "conv_id", "left").where(~F.coalesce(echo, F.lit(False))).drop("_s")
+    system = last_user_first_system(messages).select("conv_id", F.col("first_system").alias("_s"))
+    return messages.join(system, "conv_id", "left").where(~is_echo(F.col("role"), F.col("content"), F.col("_s"), threshold)).drop("_s")
 
 
 def code_runs(lines: DataFrame) -> DataFrame:
@@ -224,20 +256,7 @@ def valid_reductions(original: DataFrame, reduced: DataFrame) -> DataFrame:
 
 
 def segments(messages: DataFrame) -> DataFrame:
-    """Classified segments of each message: system tags, blank and metadata lines, fragments with and without fillers."""
-    m = messages.where(rules.strip(F.col("content")) != "").select("conv_id", "turn", "role", "content")
-    tags = m.select("conv_id", "turn", "role", F.lit(-1).alias("line"), F.posexplode(rules.system_tags(F.col("content"))).alias("pos", "text")).withColumn("reason", F.lit("system_tag"))
-    lines = m.select("conv_id", "turn", "role", F.posexplode(F.split(rules.without_tags(F.col("content")), "\n")).alias("line", "text"))
-    s = rules.strip(F.col("text"))
-    lines = lines.withColumn("whole", F.when(s == "", "empty_line").when(rules.is_tool_noise(s), "tool_metadata"))
-    whole = lines.where("whole is not null").select("conv_id", "turn", "role", "line", F.lit(0).alias("pos"), "text", F.col("whole").alias("reason"))
-    frag = lines.where("whole is null").select("conv_id", "turn", "role", "line", F.posexplode(rules.fragments(F.col("text"))).alias("pos", "frag"))
-    frag = frag.withColumn("clean", rules.strip_fillers(F.col("frag")))
-    changed = F.col("clean") != F.col("frag")
-    reason = F.when(F.col("clean") == "", "filler_only").when(changed, "cleaned_from_filler").otherwise(rules.fragment_reason(F.col("clean")))
-    kept = F.struct((F.col("pos") * 2).alias("pos"), F.when((F.col("clean") != "") & changed, F.col("clean")).otherwise(F.col("frag")).alias("text"), reason.alias("reason"))
-    gone = F.struct((F.col("pos") * 2 + 1).alias("pos"), rules.removed_text(F.col("frag"), F.col("clean")).alias("text"), F.lit("inline_filler").alias("reason"))
-    both = F.when((F.col("clean") != "") & changed, F.array(kept, gone)).otherwise(F.array(kept))
-    pieces = frag.select("conv_id", "turn", "role", "line", F.explode(both).alias("x")).select("conv_id", "turn", "role", "line", "x.*").where("text <> ''")
-    out = tags.unionByName(whole).unionByName(pieces)
-    return out.select("conv_id", "turn", "role", "line", "pos", "text", "reason", F.when(F.col("reason").isin(rules.NOISE), "noise").otherwise("signal").alias("kind"), rules.confidence(F.col("reason")).alias("confidence"), tokens.len3(F.col("text")).alias("tokens"))
+    """Classified segments of each message, from one expression a message."""
+    out = messages.select("conv_id", "turn", "role", F.inline(rules.segments(F.col("content"))))
+    kind = F.when(F.col("reason").isin(rules.NOISE), "noise").otherwise("signal")
+    return out.withColumns({"kind": kind, "confidence": rules.confidence(F.col("reason")), "tokens": tokens.len3(F.col("text"))})

@@ -76,6 +76,12 @@ def top_keys(text: Column) -> Column:
     return F.array_sort(F.json_object_keys(text))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def all_keys(text: pd.Series) -> pd.Series:
+    """Keys on every level of a JSON text, sorted; none of other text. (Nesting has no bound, so no column expression.)"""
+    return pd.Series([sorted(_keys(x, set())) if ok else [] for ok, x in map(_parsed, text)])
+
+
 def array_ends(values: Column) -> Column:
     """First two and last two of more than four strings, with what was left out between them."""
     n = F.size(values)
@@ -113,6 +119,20 @@ def field_types(values: DataFrame) -> DataFrame:
     return g.select("field", F.col("n").alias("values"), F.col("u").alias("distinct_values"), kind.alias("kind"), (F.coalesce(far, F.lit(False)) & (kind == "numeric")).alias("is_anomaly"), (kind == "error").alias("is_protected"))
 
 
+# What may be done with a field of each kind; an anomaly adds to a numeric field's.
+HINTS = {
+    "error": "error_content_never_discard", "id": "id_field_compress_format", "temporal": "temporal_can_normalize", "boolean": "boolean_compress_to_short",
+    "text": "text_standard_compress", "score": "score_field_round_or_compress", "numeric": "numeric_standard_compress",
+}
+ANOMALY = "_has_anomaly"
+
+
+def protected_values(types: DataFrame) -> DataFrame:
+    """(field, hint) of the fields of :func:`field_types` that must be protected: errors and those with an anomaly."""
+    hint = F.create_map(*(F.lit(x) for kv in HINTS.items() for x in kv))[F.col("kind")]
+    return types.where("is_protected OR is_anomaly").select("field", F.concat(hint, F.when(F.col("is_anomaly"), ANOMALY).otherwise("")).alias("hint"))
+
+
 def _kind(values: list[str]) -> str:
     """The same typing for the few values of one record list."""
     if not values:

@@ -112,24 +112,48 @@ def text_models(models: DataFrame, model: str = "model") -> DataFrame:
     return models.where(~F.lower(F.col(model)).rlike("tts|asr|stt|voice|audio|speech|embedding|rerank|image|vision|whisper|dall-e"))
 
 
+def _name_words(name: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(name), F.lit(r"[a-z]+|\d+(?:\.\d+)?"), F.lit(0)))
+
+
+def _own_score() -> Column:
+    """The part of a candidate's score that doesn't depend on the main model: known prices, a large context, the price."""
+    return F.when(F.col("known"), 3.0).otherwise(0.0) + F.when(F.col("hint_context") >= 128_000, 1.0).otherwise(0.0) - F.col("hint_in")
+
+
+def candidate_pairs(mains: DataFrame, listed: DataFrame, limit: int = 5) -> DataFrame:
+    """(main, provider, model, pos) pairs of ``mains`` (main, provider) with ``listed`` models (model, pos) that can be among the best ``limit``.
+
+    No cross join: a pair either shares a word of its names, or the candidate is among the best of a provider's by its own
+    score (one more than ``limit``, as a model is no candidate of itself). A dozen providers make that second list short.
+    """
+    cheap = price_hint(listed.where(looks_cheap(F.col("model"))))
+    shared = mains.withColumn("_w", F.explode(_name_words(F.col("main")))).join(cheap.select("model", "pos", F.explode(_name_words(F.col("model"))).alias("_w")), "_w")
+    names = sorted({name for _, name in dims.PROVIDERS})
+    of = F.concat(F.array(F.lit("")), F.array_compact(F.array(*(F.when(F.contains(F.lower("model"), F.lit(n)), F.lit(n)) for n in names))))
+    place = F.row_number().over(Window.partitionBy("_class").orderBy(F.col("_score").desc(), "pos"))
+    best = cheap.select("model", "pos", _own_score().alias("_score"), F.explode(of).alias("_class")).withColumn("_place", place).where(F.col("_place") <= limit + 1)
+    anyone = F.col("provider").isin("unknown", "openai", "anthropic") | F.contains(F.lower("main"), F.col("provider"))
+    others = mains.withColumn("_class", F.when(anyone, "").otherwise(F.col("provider"))).join(best, "_class")
+    return shared.select("main", "provider", "model", "pos").union(others.select("main", "provider", "model", "pos")).distinct()
+
+
 def rank_candidates(candidates: DataFrame, limit: int = 5) -> DataFrame:
     """Cheap candidates of each main model (main, provider, model, pos), best first, ``limit`` at most.
 
     The score is the number of shared name tokens, 3 for known prices, 1 for a large context, less the input price.
     """
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[a-z]+|\d+(?:\.\d+)?"), F.lit(0)))
     rows = candidates.where(F.lower("model") != F.lower("main")).where(looks_cheap(F.col("model"))).where(compatible(F.col("provider"), F.col("main"), F.col("model")))
     rows = price_hint(rows)
-    shared = F.size(F.array_intersect(words(F.col("main")), words(F.col("model"))))
-    score = shared + F.when(F.col("known"), 3.0).otherwise(0.0) + F.when(F.col("hint_context") >= 128_000, 1.0).otherwise(0.0) - F.col("hint_in")
+    shared = F.size(F.array_intersect(_name_words(F.col("main")), _name_words(F.col("model"))))
     place = F.row_number().over(Window.partitionBy("main").orderBy(F.col("score").desc(), "pos"))
-    return rows.withColumn("score", score).withColumn("place", place.cast("int")).where(F.col("place") <= limit).select("main", "model", "score", "place", "hint_in", "hint_out", "hint_context")
+    return rows.withColumn("score", shared + _own_score()).withColumn("place", place.cast("int")).where(F.col("place") <= limit).select("main", "model", "score", "place", "hint_in", "hint_out", "hint_context")
 
 
 def route_from_probe(mains: DataFrame, listed: DataFrame) -> DataFrame:
-    """Per main model (main, base_url) its best candidate among the listed ones (main, model, pos), else its static route's."""
+    """Per main model (main, base_url) its best candidate among the listed models (model, pos), else its static route's."""
     m = mains.withColumn("provider", infer_provider(F.col("base_url"), F.col("main")))
-    best = rank_candidates(m.join(listed, "main")).where("place = 1").select("main", F.col("model").alias("listed"), F.col("hint_in").alias("listed_in"), F.col("hint_out").alias("listed_out"))
+    best = rank_candidates(candidate_pairs(m.select("main", "provider"), listed)).where("place = 1").select("main", F.col("model").alias("listed"), F.col("hint_in").alias("listed_in"), F.col("hint_out").alias("listed_out"))
     out = price_hint(find_route(m.join(best, "main", "left"), "main"), "main")
     chosen = F.coalesce("listed", "cheap")
     return out.select(

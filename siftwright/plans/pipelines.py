@@ -6,16 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, signals, tokens
-from ..operators import dedup, groups, lookups, pack, prompts, recall
+from ..operators import cases, costs, dedup, groups, lookups, pack, prompts, recall
+from ..sources.scratch import materialise
 from . import dims
 
 
 def clean_by_signal(messages: DataFrame) -> DataFrame:
     """Messages of their signal segments only, joined by spaces; those without any stay as they are."""
-    s = groups.segments(messages).where("kind = 'signal'")
-    kept = F.transform(F.array_sort(F.collect_list(F.struct("line", "pos", "text"))), lambda x: x["text"])
-    s = s.groupBy("conv_id", "turn").agg(F.array_join(kept, " ").alias("_kept"))
-    return messages.join(s, ["conv_id", "turn"], "left").withColumn("content", F.coalesce("_kept", "content")).drop("_kept")
+    return messages.withColumn("content", rules.signal_text(F.col("content")))
+
+
+def _again(messages: DataFrame) -> DataFrame:
+    """(conv_id, again): the turns of each conversation whose instruction a later one repeats."""
+    return groups.repeated_instructions(messages).groupBy("conv_id").agg(F.collect_set("turn").alias("again"))
+
+
+def _reduced(role: Column, c: Column, again: Column) -> Column:
+    """An old message by its role: lines worth keeping, without metadata, a summary of a repeated instruction, or its signal."""
+    return (
+        F.when(rules.strip(c) == "", c)
+        .when(role == "assistant", rules.reduce_assistant(c))
+        .when(role == "tool", rules.reduce_tool(c))
+        .when((role == "user") & again, rules.summarise_instruction(c))
+        .when(role == "user", rules.signal_text(c))
+        .otherwise(c)
+    )
 
 
 def compress_history(messages: DataFrame, keep: int = 3) -> DataFrame:
@@ -24,47 +39,34 @@ def compress_history(messages: DataFrame, keep: int = 3) -> DataFrame:
     Old messages of other roles stay. Conversations of at most ``keep`` messages stay whole.
     """
     old = groups.split_recent(messages, keep)
-    repeated = groups.repeated_instructions(old.where("NOT recent")).select("conv_id", "turn", F.lit(True).alias("_again"))
-    signal = clean_by_signal(old.where("NOT recent AND role = 'user'")).select("conv_id", "turn", F.col("content").alias("_signal"))
-    m = old.join(repeated, ["conv_id", "turn"], "left").join(signal, ["conv_id", "turn"], "left")
-    c = F.col("content")
-    role = F.col("role")
-    reduced = (
-        F.when(F.col("recent") | (rules.strip(c) == ""), c)
-        .when(role == "assistant", rules.reduce_assistant(c))
-        .when(role == "tool", rules.reduce_tool(c))
-        .when((role == "user") & F.col("_again"), rules.summarise_instruction(c))
-        .when(role == "user", F.coalesce("_signal", "content"))
-        .otherwise(c)
-    )
-    return m.withColumn("content", reduced).drop("_again", "_signal", "recent")
+    m = old.join(_again(old.where("NOT recent")), "conv_id", "left")
+    again = F.coalesce(F.array_contains("again", F.col("turn")), F.lit(False))
+    return m.withColumn("content", F.when(F.col("recent"), F.col("content")).otherwise(_reduced(F.col("role"), F.col("content"), again))).drop("again", "recent")
 
 
 def rule_compress(messages: DataFrame, echoes: bool = False, least: float = 0.30) -> DataFrame:
     """Rule compression: tool replies cleaned, user and assistant text reduced to signal, old turns reduced.
 
-    System messages stay. Where less than ``least`` of a conversation would be left, its original comes back.
+    System messages stay. Where less than ``least`` of a conversation would be left, its original comes back. One shuffle
+    by conversation carries all of it but the comparison of instructions, which joins on the same key.
     """
-    m = messages.select("conv_id", "turn", "role", "content")
-    talk = clean_by_signal(m.where("role NOT IN ('system', 'tool')"))
-    rest = m.where("role IN ('system', 'tool')").withColumn("content", F.when(F.col("role") == "tool", rules.clean_tool(F.col("content"))).otherwise(F.col("content")))
-    cleaned = talk.unionByName(rest)
-    size = F.count("*").over(Window.partitionBy("conv_id"))
-    reduced = compress_history(cleaned)
-    long = cleaned.withColumn("_n", size).where("_n > 4").select("conv_id").distinct()
-    out = cleaned.join(reduced.join(long, "conv_id", "left_semi").select("conv_id", "turn", F.col("content").alias("_r")), ["conv_id", "turn"], "left")
-    out = out.withColumn("content", F.coalesce("_r", "content")).drop("_r")
+    c, role = F.col("content"), F.col("role")
+    clean = F.when(role == "system", c).when(role == "tool", rules.clean_tool(c)).otherwise(rules.signal_text(c))
+    by = Window.partitionBy("conv_id")
+    m = messages.select("conv_id", "turn", "role", "content", clean.alias("_clean")).withColumn("_n", F.count("*").over(by))
+    m = m.withColumn("_old", (F.col("_n") > 4) & (F.row_number().over(by.orderBy(F.col("turn").desc())) > 3))
+    m = m.join(_again(m.where("_old").select("conv_id", "turn", "role", F.col("_clean").alias("content"))), "conv_id", "left")
+    again = F.coalesce(F.array_contains("again", F.col("turn")), F.lit(False))
+    m = m.withColumn("_new", F.when(F.col("_old"), _reduced(role, F.col("_clean"), again)).otherwise(F.col("_clean")))
     if echoes:
-        out = groups.without_echoes(out)
-    joined = m.join(out.select("conv_id", "turn", F.col("content").alias("_new")), ["conv_id", "turn"], "left")
-    t, n = tokens.len3(F.col("content")), F.coalesce(tokens.len3(F.col("_new")), F.lit(0))
-    g = joined.groupBy("conv_id").agg(
-        F.sum(F.when(rules.strip(F.col("content")) != "", t).otherwise(0)).alias("_o"), F.sum(n).alias("_c"),
-        F.bool_or(F.col("role").isin("user", "assistant") & (rules.strip(F.col("content")) != "")).alias("_talk"),
-    )
-    back = g.where(F.col("_talk") & (F.col("_c") / F.greatest(F.lit(1), F.col("_o")) < least)).select("conv_id", F.lit(True).alias("_back"))
-    final = joined.join(back, "conv_id", "left").where(F.col("_back") | F.col("_new").isNotNull())
-    return final.select("conv_id", "turn", "role", F.when(F.col("_back"), F.col("content")).otherwise(F.col("_new")).alias("content"))
+        first = F.min_by("_new", F.when(role == "system", F.col("turn"))).over(by)
+        m = m.withColumn("_new", F.when(~groups.is_echo(role, F.col("_new"), first), F.col("_new")))
+    said = rules.strip(c) != ""
+    before = F.sum(F.when(said, tokens.len3(c)).otherwise(0)).over(by)
+    after = F.sum(F.coalesce(tokens.len3(F.col("_new")), F.lit(0))).over(by)
+    talk = F.bool_or(role.isin("user", "assistant") & said).over(by)
+    m = m.withColumn("_back", talk & (after / F.greatest(F.lit(1), before) < least))
+    return m.where("_back OR _new IS NOT NULL").select("conv_id", "turn", "role", F.when(F.col("_back"), c).otherwise(F.col("_new")).alias("content"))
 
 
 def token_change(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -198,27 +200,89 @@ def parse_replies(replies: DataFrame, column: str = "reply") -> DataFrame:
     return replies.select("conv_id", F.posexplode(F.when(ok, items)).alias("turn", "m")).select("conv_id", F.col("turn").cast("long").alias("turn"), "m.*")
 
 
-def smart_compress(messages: DataFrame, replies: DataFrame, model: str) -> DataFrame:
-    """Messages after smart compression, given the compressor's replies: the reply where shadow, checks and fidelity allow it, else the rules' result."""
-    ruled = rule_compress(messages)
-    plan = shadow(messages, model, ruled=ruled).where("would_call_smart").select("conv_id")
-    got = parse_replies(replies.join(plan, "conv_id", "left_semi"))
-    good = groups.valid_reductions(ruled, got).where("valid").join(fidelity(messages, got).where("passed"), "conv_id", "left_semi").select("conv_id")
-    smart = got.join(good, "conv_id", "left_semi").withColumn("mode", F.lit("smart"))
-    rest = ruled.join(good, "conv_id", "left_anti").withColumn("mode", F.lit("rule_only"))
-    return smart.unionByName(rest)
+#: Mode of a conversation that smart compression leaves to the rules, by the shadow evaluation's reason.
+FALLBACKS = {
+    "missing_route": "rule_only", "short_input_profit_guard": "rule_only_profit_guard", "context_guard": "rule_only_context_guard",
+    "circuit_breaker": "rule_only_self_repair", "profit_guard": "rule_only_profit_guard",
+}
+
+
+def smart_modes(messages: DataFrame, got: DataFrame, plan: DataFrame, model: str, margin: float = 0.05) -> DataFrame:
+    """(conv_id, mode, final_tokens): ``smart`` where the plan calls for it and the parsed reply ``got`` is valid, keeps the facts and pays.
+
+    A reply that is missing, longer than the original, or without its system or a user message falls back; so does one
+    under the fidelity threshold, and one whose real size saves less than ``margin``.
+    """
+    x = plan.select("conv_id", "rule_tokens", "would_call_smart", "fallback_reason").withColumn("model", F.lit(model))
+    x = lookups.find_route(x).join(groups.valid_reductions(messages, got).select("conv_id", "valid"), "conv_id", "left")
+    x = x.join(fidelity(messages, got).select("conv_id", "passed"), "conv_id", "left").join(groups.conv_tokens(got).select("conv_id", F.col("tokens").alias("final_tokens")), "conv_id", "left")
+    profit = tokens.route_profit(*(F.col(c) for c in ("rule_tokens", "final_tokens", "main_in", "main_out", "cheap_in", "cheap_out")))
+    pays = profit["profitable"] & (profit["savings_pct"] >= margin * 100)
+    named = F.lit(None).cast("string")
+    for reason, mode in FALLBACKS.items():
+        named = F.when(F.col("fallback_reason") == reason, mode).otherwise(named)
+    mode = (
+        F.when(~F.col("would_call_smart"), named).when(~F.coalesce("valid", F.lit(False)), "rule_only_fallback")
+        .when(~F.coalesce("passed", F.lit(False)), "rule_only_fidelity_guard").when(~F.coalesce(pays, F.lit(False)), "rule_only_profit_guard").otherwise("smart")
+    )
+    return x.select("conv_id", mode.alias("mode"), F.when(mode == "smart", F.col("final_tokens")).alias("final_tokens"))
+
+
+def smart_compress(messages: DataFrame, replies: DataFrame, model: str, least_tokens: int = 0, learned: DataFrame | None = None) -> DataFrame:
+    """Messages after smart compression, given the compressor's replies: the reply where every guard lets it through, else the rules' result.
+
+    Each message has its conversation's ``mode``. The rules' result and the modes are written once and read again.
+    """
+    ruled = materialise(rule_compress(messages), "ruled")
+    plan = materialise(shadow(messages, model, least_tokens, ruled, learned), "plan")
+    got = materialise(parse_replies(replies.join(plan.where("would_call_smart").select("conv_id"), "conv_id", "left_semi")), "replies")
+    modes = materialise(smart_modes(messages, got, plan, model), "modes").select("conv_id", "mode")
+    return got.join(modes.where("mode = 'smart'"), "conv_id").unionByName(ruled.join(modes.where("mode <> 'smart'"), "conv_id")).select("conv_id", "turn", "role", "content", "mode")
+
 
+def production(messages: DataFrame, model: str, replies: DataFrame | None = None, rollout: str = "auto") -> DataFrame:
+    """The production call without its network part: attributes cleaned, gate, smart compression where it is on, else the rules; recall
+    markers, cache order, prefix hash, savings.
 
-def production(messages: DataFrame, model: str) -> DataFrame:
-    """The production call without its network part: attributes cleaned, gate, rules, recall markers, cache order and prefix hash."""
+    ``replies`` are the compressor's (none: every conversation falls back to the rules). Only conversations with the
+    gate open store originals and get markers.
+    """
     m = prompts.clean_attributes(messages)
-    ruled = rule_compress(m)
+    ruled = materialise(rule_compress(m), "ruled")
+    plan = materialise(shadow(m, model, ruled=ruled), "plan")
     spans = protected_spans(m).groupBy("conv_id").agg(F.count("*").alias("protected_span_count"))
-    gate = rollout_gate(shadow(m, model, ruled=ruled).join(spans, "conv_id", "left")).select("conv_id", "enabled", "reason")
-    originals = m.where(F.length("content") > 50).select("conv_id", F.col("turn").alias("pos"), F.col("content").alias("original"))
-    marked = recall.annotate(ruled, originals).drop("hash_key")
-    placed = prompts.reorder(marked).select("conv_id", F.col("place").cast("long").alias("turn"), "role", "content")
-    return placed.join(gate, "conv_id").join(prompts.prefix_hash(placed).select("conv_id", "prefix_hash"), "conv_id")
+    gate = materialise(rollout_gate(plan.join(spans, "conv_id", "left"), rollout).select("conv_id", "enabled", "reason"), "gate")
+    asked = gate.where("enabled").select("conv_id")
+    if replies is None:
+        replies = asked.withColumn("reply", F.lit(None).cast("string")).where("false")
+    got = materialise(parse_replies(replies.join(asked, "conv_id", "left_semi")), "replies")
+    modes = smart_modes(m, got, plan, model).select("conv_id", F.col("mode").alias("smart_mode"))
+    gate = materialise(gate.join(modes, "conv_id").select("conv_id", "enabled", "reason", F.when(F.col("enabled"), F.col("smart_mode")).otherwise("rule_only").alias("mode")), "modes")
+
+    done = got.join(gate.where("mode = 'smart'").select("conv_id"), "conv_id", "left_semi").unionByName(ruled.join(gate.where("mode <> 'smart'").select("conv_id"), "conv_id", "left_semi"))
+    originals = m.where(F.length("content") > 50).join(asked, "conv_id", "left_semi").select("conv_id", F.col("turn").alias("pos"), F.col("content").alias("original"))
+    placed = prompts.reorder(recall.annotate(done, originals).drop("hash_key")).select("conv_id", F.col("place").cast("long").alias("turn"), "role", "content")
+    placed = materialise(placed, "placed")
+    before, after = (groups.conv_tokens(x).select("conv_id", F.col("tokens").alias(n)) for x, n in ((messages, "original_tokens"), (placed, "optimized_tokens")))
+    saved = F.round((F.col("original_tokens") - F.col("optimized_tokens")) / F.col("original_tokens") * 100, 2)
+    facts = gate.join(prompts.prefix_hash(placed).select("conv_id", "prefix_hash"), "conv_id").join(before, "conv_id").join(after, "conv_id").withColumn("saved_pct", saved)
+    return placed.join(facts, "conv_id")
+
+
+def classic_call(messages: DataFrame, replies: DataFrame, model: str) -> tuple[DataFrame, DataFrame]:
+    """The plain client call without its network part: the messages it sends, in cache order, and its rows for the request log.
+
+    ``replies`` has (conv_id, reply), the model's JSON. A log row has event_id (the conversation), prefix, model, tokens and
+    cached_tokens (those of the reply's usage, else 0); a conversation without a reply has none.
+    """
+    sent = materialise(prompts.reorder(rule_compress(prompts.clean_attributes(messages))).select("conv_id", F.col("place").cast("long").alias("turn"), "role", "content"), "sent")
+    cached = F.coalesce(F.get_json_object("reply", "$.usage.prompt_tokens_details.cached_tokens").try_cast("long"), F.lit(0))
+    usage = costs.reply_usage(replies.withColumn("cached_tokens", cached))
+    log = prompts.prefix_hash(sent).join(usage, "conv_id").join(groups.conv_tokens(sent).select("conv_id", "tokens"), "conv_id")
+    return sent, log.select(
+        F.col("conv_id").alias("event_id"), F.col("prefix_hash").alias("prefix"), F.lit(model).alias("model"), F.when(F.col("prompt_tokens") > 0, F.col("prompt_tokens")).otherwise(F.col("tokens")).alias("input_tokens"),
+        F.col("completion_tokens").alias("output_tokens"), "cached_tokens",
+    )
 
 
 def plugin_compress(messages: DataFrame, model: str, least: int = 1000, keep: int = 4, price: float | None = 0.10, smart_models: tuple[str, ...] = (), least_llm: int = 1500, cached: DataFrame | None = None) -> DataFrame:
@@ -250,12 +314,34 @@ def plugin_compress(messages: DataFrame, model: str, least: int = 1000, keep: in
     )
 
 
-def benchmark(cases: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Reduced text of each case (id, messages): near duplicates out, ratio by profile, adaptive compression."""
-    ids = cases.select("id").withColumn("conv_id", F.xxhash64("id"))
-    m = cases.select(F.xxhash64("id").alias("conv_id"), F.posexplode("messages").alias("turn", "m")).select("conv_id", F.col("turn").cast("long").alias("turn"), "m.role", "m.content")
-    m = dedup.near_dedup(m, threshold).drop("ref")
-    plan = groups.ratio_policy(groups.content_profile(m)).select("conv_id", F.col("keep_ratio").alias("_k"), "method")
+def _joined_text(name: str) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "content"))), lambda x: x["content"]), "\n").alias(name)
+
+
+def benchmark(cases_: DataFrame, threshold: float = 0.7, ratio: float | None = None) -> DataFrame:
+    """Reduced text of each case (id, messages): near duplicates out, ratio by profile, adaptive compression.
+
+    With ``ratio`` every case is packed into that share, without a look at its profile or duplicates. The original text
+    comes along.
+    """
+    ids = cases_.select("id").withColumn("conv_id", F.xxhash64("id"))
+    whole = cases_.select(F.xxhash64("id").alias("conv_id"), F.posexplode("messages").alias("turn", "m")).select("conv_id", F.col("turn").cast("long").alias("turn"), "m.role", "m.content")
+    if ratio is None:
+        m = dedup.near_dedup(whole, threshold).drop("ref")
+        plan = groups.ratio_policy(groups.content_profile(m)).select("conv_id", F.col("keep_ratio").alias("_k"), "method")
+    else:
+        m = whole
+        plan = ids.select("conv_id", F.lit(ratio).alias("_k"), F.lit("fixed").alias("method"))
     out = adaptive_compress(m.join(plan.drop("method"), "conv_id"), F.col("_k"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "content"))), lambda x: x["content"]), "\n")
-    return out.groupBy("conv_id").agg(text.alias("text")).join(ids, "conv_id").join(plan, "conv_id").select("id", "text", F.col("_k").alias("keep_ratio"), "method")
+    texts = out.groupBy("conv_id").agg(_joined_text("text")).join(whole.groupBy("conv_id").agg(_joined_text("original")), "conv_id")
+    return texts.join(ids, "conv_id").join(plan, "conv_id").select("id", "text", "original", F.col("_k").alias("keep_ratio"), "method")
+
+
+def benchmark_quality(cases_: DataFrame, ratio: float | None = None) -> DataFrame:
+    """Per case the answers kept and one blended score: answers .35, entities .30, numbers .20, structure .15."""
+    out = benchmark(cases_, ratio=ratio)
+    checked = cases.checked(cases.assertions(cases_).join(out.select("id", "text"), "id"))
+    qa = cases.case_results(checked.select("id", "found", "miss")).select("id", "qa_passed", "qa_total", F.coalesce(F.try_divide("qa_passed", "qa_total"), F.lit(1.0)).alias("qa"))
+    e = signals.evaluate(F.col("original"), F.col("text"))
+    x = out.join(qa, "id").withColumns({k: e[k] for k in ("entity_recall", "number_precision", "structural_preservation")})
+    return x.select("id", "keep_ratio", "method", "qa_passed", "qa_total", F.round(cases.blended_quality("qa", "entity_recall", "number_precision", "structural_preservation"), 4).alias("quality"))

@@ -14,6 +14,8 @@ from .functions import rules, signals, tokens
 from .operators import cases, costs, dedup, groups, jsonx, lookups, pack, prompts, recall
 from .plans import dims, pipelines
 from .sources import tables
+from .sources.request_log import RequestLog
+from .sources.scratch import new_path
 from .sources.tables import CALLS, CHAT, CJK, TOOL, calls, chat, cjk, load, messages, tool
 from .streaming import streams
 
@@ -88,17 +90,24 @@ def conv_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return groups.conv_tokens(chat(spark, sf))
 
 
+@query(f"SELECT event_id, (4 + {_of(_PLUGIN, 'props')} + {_of(_PLUGIN, 'event_type')})::BIGINT AS tokens FROM events")
+def block_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    part = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.cast("string").alias("text"))
+    blocks = F.array(part("text", F.col("props")), part("image", F.lit(None)), part("text", F.col("event_type")), part("text", F.lit("")))
+    return load(spark, sf, "events").select("event_id", groups.block_tokens(blocks).alias("tokens"))
+
+
 @query(
     "WITH d AS (SELECT doc_id, greatest(1, round_even(length(text) / 4.0, 0)) AS t,"
     " CASE doc_id % 3 WHEN 0 THEN 'safe' WHEN 1 THEN 'balanced' ELSE 'aggressive' END AS mode FROM documents WHERE length(text) > 0)"
     " SELECT doc_id, mode, least(CASE mode WHEN 'safe' THEN 0.95 WHEN 'balanced' THEN 0.75 ELSE 0.5 END::DOUBLE, least(1.0::DOUBLE, greatest(0.05::DOUBLE, 200 / t))) AS keep_ratio,"
-    " CASE WHEN mode = 'aggressive' THEN 2 WHEN mode = 'balanced' THEN 1 ELSE 0 END AS warnings FROM d"
+    " concat_ws('|', CASE WHEN mode = 'aggressive' THEN 'aggressive mode used with high-risk preservation requirements' END, CASE WHEN mode <> 'safe' THEN 'safe mode is recommended when preserving critical facts' END) AS warnings FROM d"
 )
 def keep_ratio_budget(spark: SparkSession, sf: str) -> DataFrame:
     d = load(spark, sf, "documents").where("length(text) > 0")
     mode = F.when(F.col("doc_id") % 3 == 0, "safe").when(F.col("doc_id") % 3 == 1, "balanced").otherwise("aggressive")
     warn = tokens.risk_warnings(F.col("mode"), F.lit("dialog"), F.array(F.lit("Numbers")))
-    return d.select("doc_id", mode.alias("mode"), tokens.api(F.col("text")).alias("t")).select("doc_id", "mode", tokens.keep_ratio(F.col("mode"), F.lit(200), F.col("t")).alias("keep_ratio"), F.size(warn).alias("warnings"))
+    return d.select("doc_id", mode.alias("mode"), tokens.api(F.col("text")).alias("t")).select("doc_id", "mode", tokens.keep_ratio(F.col("mode"), F.lit(200), F.col("t")).alias("keep_ratio"), F.array_join(warn, "|").alias("warnings"))
 
 
 @query(
@@ -211,23 +220,62 @@ def inventory(spark: SparkSession, sf: str) -> DataFrame:
     return tables.inventory(load(spark, sf, "events").select("event_id", payload.alias("payload"))).select("event_id", "model")
 
 
+@query(
+    "SELECT event_id, CASE WHEN event_id % 4 < 2 THEN list_sort([concat('m-', event_id), 'plain']) WHEN event_id % 4 = 2 THEN [concat('m-', event_id)] ELSE [] END AS models, CASE event_id % 4 WHEN 3 THEN 'probe_failure' ELSE 'models_inventory' END AS source,"
+    " CASE WHEN event_id % 8 = 3 THEN '/models listed no model' WHEN event_id % 4 = 3 THEN concat('/models probe failed: timeout ', event_id) END AS failure_reason FROM events"
+)
+def probe_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    payload = F.expr(
+        """CASE event_id % 8 WHEN 0 THEN concat('{"data":[{"id":" m-', event_id, ' "},"plain",{"id":""}]}') WHEN 4 THEN concat('["m-', event_id, '","plain"]') WHEN 1 THEN concat('["plain",{"name":"m-', event_id, '"}]')
+        WHEN 5 THEN concat('["plain",{"name":"m-', event_id, '"}]') WHEN 2 THEN concat('[{"model":"m-', event_id, '"}, 7]') WHEN 6 THEN concat('["m-', event_id, '"]') WHEN 3 THEN 'not json' END"""
+    )
+    return tables.probe(load(spark, sf, "events").select("event_id", payload.alias("payload"), F.concat(F.lit("timeout "), "event_id").alias("error")))
+
+
+@query(
+    "SELECT DISTINCT user_id AS provider, concat('m', value::BIGINT % 9) AS model FROM events WHERE user_id % 3 = 0 AND event_type <> 'view' UNION SELECT DISTINCT user_id, concat('m', value::BIGINT % 9) FROM events WHERE user_id % 3 = 1 AND event_type <> 'view' AND value::BIGINT % 9 IN (1, 2, 3)"
+    " UNION SELECT user_id, unnest(['m1', 'm2', 'm3']) FROM events WHERE user_id % 3 = 2 OR (user_id % 3 = 1 AND user_id NOT IN (SELECT user_id FROM events WHERE event_type <> 'view'))"
+)
+def provider_config_models(spark: SparkSession, sf: str) -> DataFrame:
+    e = load(spark, sf, "events")
+    p = F.col("user_id")
+    providers = e.select(p.alias("provider"), F.when(p % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("m1"), F.lit("m2"), F.lit("m3"))).alias("models")).distinct()
+    listed = e.where("event_type <> 'view' AND user_id % 3 <> 2").select(p.alias("provider"), F.concat(F.lit("m"), F.bround("value").cast("long") % 9).alias("model"))
+    return tables.configured_models(providers, listed)
+
+
 def _listed(spark: SparkSession, sf: str) -> DataFrame:
     n = _names(spark, sf).groupBy("model").agg(F.min("event_id").alias("pos"))
     return n
 
 
-@query()
+_RANKED = (
+    f"WITH l AS (SELECT model, min(event_id) AS pos FROM ({_NAMES}) GROUP BY model), h AS ({dims.HINTS_SQL}),"
+    " m AS (SELECT model AS main, list_distinct(regexp_extract_all(lower(model), '[a-z]+|\\d+(?:\\.\\d+)?')) AS w, CASE WHEN contains(lower(model), 'mimo') THEN 'mimo' WHEN contains(lower(model), 'deepseek') THEN 'deepseek' WHEN contains(lower(model), 'qwen') THEN 'qwen'"
+    " WHEN regexp_matches(lower(model), '^(gpt-|o1|o3|o4)') THEN 'openai' WHEN starts_with(lower(model), 'claude-') THEN 'anthropic' ELSE 'unknown' END AS provider FROM l),"
+    f" c AS (SELECT model, pos, list_distinct(regexp_extract_all(lower(model), '[a-z]+|\\d+(?:\\.\\d+)?')) AS w, id IS NOT NULL AS known, coalesce(price_in, 0.20)::DOUBLE AS hint_in, coalesce(price_out, 0.60)::DOUBLE AS hint_out, coalesce(max_context, 128000)::BIGINT AS hint_context FROM l LEFT JOIN h ON lower(model) = id WHERE {_CHEAP}),"
+    " s AS (SELECT main, model, pos, hint_in, hint_out, hint_context, len(list_intersect(m.w, c.w)) + (CASE WHEN known THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN hint_context >= 128000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END - hint_in) AS score"
+    " FROM m, c WHERE lower(main) <> lower(model) AND (provider IN ('unknown', 'openai', 'anthropic') OR contains(lower(model), provider) OR contains(lower(main), provider))),"
+    " r AS (SELECT *, row_number() OVER (PARTITION BY main ORDER BY score DESC, pos)::INTEGER AS place FROM s)"
+)
+
+
+@query(_RANKED + " SELECT main, model, score, place, hint_in, hint_out, hint_context FROM r WHERE place <= 5")
 def candidate_rank(spark: SparkSession, sf: str) -> DataFrame:
     n = _listed(spark, sf)
     mains = n.select(F.col("model").alias("main"), lookups.infer_provider(F.lit(""), F.col("model")).alias("provider"))
-    return lookups.rank_candidates(mains.join(F.broadcast(n)))
+    return lookups.rank_candidates(lookups.candidate_pairs(mains, n))
 
 
-@query()
+@query(
+    _RANKED + f", d AS ({dims.ROUTES_SQL}), f AS (SELECT main, arg_min(cheap, pos) AS cheap, arg_min(main_in, pos) AS main_in, arg_min(cheap_in, pos) AS cheap_in FROM m JOIN d ON contains(lower(trim(main)), pattern) GROUP BY main)"
+    f" SELECT m.main, provider, coalesce(r.model, cheap) AS candidate, coalesce(r.model, cheap) IS NOT NULL AS available, CASE WHEN r.model IS NOT NULL THEN 'models_inventory' WHEN cheap IS NOT NULL THEN 'static_route' END AS source,"
+    f" coalesce(main_in, h.price_in, CASE WHEN {_CHEAP.replace('model', 'm.main')} THEN 0.20 ELSE 1.00 END)::DOUBLE AS main_price_in, coalesce(r.hint_in, cheap_in) AS candidate_price_in"
+    " FROM m LEFT JOIN r ON m.main = r.main AND place = 1 LEFT JOIN f ON m.main = f.main LEFT JOIN h ON lower(m.main) = h.id"
+)
 def route_probe(spark: SparkSession, sf: str) -> DataFrame:
     n = _listed(spark, sf)
-    mains = n.select(F.col("model").alias("main"), F.lit("").alias("base_url"))
-    return lookups.route_from_probe(mains, mains.select("main").join(F.broadcast(n)))
+    return lookups.route_from_probe(n.select(F.col("model").alias("main"), F.lit("").alias("base_url")), n)
 
 
 # a small grid of learned ratios, so that every branch of the projection is taken
@@ -353,6 +401,27 @@ def breaker_replay(spark: SparkSession, sf: str) -> DataFrame:
     return costs.replay_breaker(calls(spark, sf))
 
 
+_LOGGED = "WITH l AS (SELECT event_id, concat('p', user_id % 20) AS prefix, CASE WHEN event_id % 3 = 0 THEN 5 ELSE 0 END AS cached_tokens FROM events)"
+
+
+@query(_LOGGED + " SELECT prefix, min(event_id) AS first_seen, coalesce(max(event_id) FILTER (cached_tokens > 0), min(event_id)) AS last_hit, count_if(cached_tokens > 0) AS hit_count, count_if(cached_tokens = 0) AS miss_count FROM l GROUP BY prefix")
+def request_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The log in three batches, one of them run twice."""
+    e = load(spark, sf, "events").select("event_id", F.concat(F.lit("p"), F.col("user_id") % 20).alias("prefix"), F.lit("m").alias("model"), F.lit(10).alias("input_tokens"), F.lit(1).alias("output_tokens"), F.when(F.col("event_id") % 3 == 0, 5).otherwise(0).alias("cached_tokens"))
+    log = RequestLog(spark, new_path(spark, "log"))
+    for batch in (0, 1, 1, 2):
+        log.record(e.where(F.col("event_id") % 3 == batch), batch)
+    return log.counters()
+
+
+@query()
+def classic_call(spark: SparkSession, sf: str) -> DataFrame:
+    c = chat(spark, sf)
+    usage = F.expr("""concat('{"usage":{"prompt_tokens":', 100 + conv_id % 50, ',"completion_tokens":', conv_id % 30, ',"prompt_tokens_details":{"cached_tokens":', conv_id % 20, '}}}')""")
+    _, rows = pipelines.classic_call(c, c.where("turn = 0").select("conv_id", usage.alias("reply")), "deepseek-v4-pro")
+    return costs.request_costs(rows)
+
+
 # --- noise rules ------------------------------------------------------------------------------------------------
 
 
@@ -421,13 +490,16 @@ def removed_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH f AS (SELECT event_id, CASE event_id % 8 WHEN 0 THEN '```x' WHEN 1 THEN 'a KeyError came' WHEN 2 THEN 'see http://a.b/c' WHEN 3 THEN 'please run it' WHEN 4 THEN 'why?' WHEN 5 THEN 'a const value' WHEN 6 THEN '12.5' ELSE 'nothing' END AS t FROM events)
-    SELECT t, count(*) AS n, CASE WHEN t = '```x' THEN 'code_block' WHEN contains(t, 'KeyError') THEN 'error_trace' WHEN contains(t, 'http') THEN 'url' WHEN contains(t, ' run ') THEN 'command_en' WHEN contains(t, '?') THEN 'question'
-    WHEN contains(t, 'const') THEN 'technical' WHEN t = '12.5' THEN 'numeric' ELSE 'residual_fragment' END AS reason FROM f GROUP BY t"""
+    _CHAT + ", f AS (SELECT trim(unnest(regexp_split_to_array(replace(content, chr(10), ','), '[,;:]\\s*'))) AS t FROM chat WHERE role <> 'system' UNION ALL SELECT concat('a ', event_type, ' const value') FROM events UNION ALL SELECT concat('```', event_type) FROM events UNION ALL SELECT event_id::VARCHAR FROM events UNION ALL SELECT concat('is it ', event_type, '?') FROM events)"
+    " SELECT t, count(*) AS n, CASE WHEN starts_with(t, '```') THEN 'code_block' WHEN regexp_matches(t, 'Error|Exception|Traceback|File \"|raise |assert ') THEN 'error_trace' WHEN regexp_matches(t, 'https?://\\S+') THEN 'url'"
+    " WHEN regexp_matches(t, '(?i)\\b(write|create|delete|modify|run|execute|search|analyze|implement|optimize|refactor|debug|fix|install|deploy|configure|test|compare|recommend|explain|translate|summarize|generate|download|upload|merge|check|verify|help|add|remove|update|set|get|find|show|list|open|close|enable|disable)\\b') THEN 'command_en'"
+    " WHEN contains(t, '?') THEN 'question' WHEN regexp_matches(t, '\\b(Python|TypeScript|JavaScript|function|class|import|return|async|await|const|let|var|def |class |if |else|for |while )\\b') THEN 'technical'"
+    " WHEN regexp_matches(t, '^\\d+[\\d.,]*$') THEN 'numeric' WHEN NOT contains(t, '!') THEN 'residual_fragment' ELSE 'default_signal' END AS reason FROM f WHERE t <> '' GROUP BY t"
 )
 def fragment_classes(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.expr("CASE event_id % 8 WHEN 0 THEN '```x' WHEN 1 THEN 'a KeyError came' WHEN 2 THEN 'see http://a.b/c' WHEN 3 THEN 'please run it' WHEN 4 THEN 'why?' WHEN 5 THEN 'a const value' WHEN 6 THEN '12.5' ELSE 'nothing' END")
-    g = load(spark, sf, "events").groupBy(t.alias("t")).agg(F.count("*").alias("n"))
+    talk = chat(spark, sf).where("role <> 'system'").select(F.explode(F.flatten(F.transform(F.split("content", "\n"), rules.fragments))).alias("t"))
+    more = F.array(F.concat(F.lit("a "), "event_type", F.lit(" const value")), F.concat(F.lit("```"), "event_type"), F.col("event_id").cast("string"), F.concat(F.lit("is it "), "event_type", F.lit("?")))
+    g = talk.union(load(spark, sf, "events").select(F.explode(more))).groupBy("t").agg(F.count("*").alias("n"))
     return g.withColumn("reason", rules.fragment_reason(F.col("t")))
 
 
@@ -455,7 +527,14 @@ def plugin_rules(spark: SparkSession, sf: str) -> DataFrame:
 _NUM = "len(regexp_extract_all(content, '[$]?[0-9][0-9,.]*[KkMm%]?'))"
 
 
-@query(_CHAT + f"SELECT conv_id, turn, {_NUM}::BIGINT AS numbers, length(trim(content)) >= 20 AND length(content) < 500 AND {_NUM} >= 3 AS short_dense FROM chat WHERE role = 'user' AND turn = 1")
+_FACT_UNITS = "len(regexp_extract_all(content, '(?i)\\b\\d[\\d,.]*\\s*(?:%|ms|s|sec|req/sec|GB|MB|KB|TB|vCPU|CPU|RAM|SSD|NVMe|K|M|mo|month|day|week|DAGs?|connections?|instances?|nodes?|brokers?)\\b'))"
+
+
+@query(
+    _CHAT + f", n AS (SELECT *, {_NUM}::BIGINT AS numbers, {_NUM} + {_FACT_UNITS} * 2.5::DOUBLE + len(regexp_extract_all(content, '[A-Za-z_][\\w\\s/-]{{0,40}}[:=]\\s*\\S')) * 2.0::DOUBLE + len(regexp_extract_all(content, '(?m)^\\s*[-*]\\s+\\S')) * 1.5::DOUBLE"
+    " + len(regexp_extract_all(content, '->')) * 2.0::DOUBLE AS score FROM chat WHERE role = 'user')"
+    " SELECT conv_id, turn, numbers, length(trim(content)) >= 20 AND ((length(content) < 500 AND numbers >= 3) OR score > greatest(length(content) * 0.045::DOUBLE, 6.0::DOUBLE)) AS short_dense FROM n"
+)
 def fact_dense(spark: SparkSession, sf: str) -> DataFrame:
     m = chat(spark, sf).where("role = 'user'")
     return m.select("conv_id", "turn", signals.count(F.col("content"), signals.NUMBER).cast("long").alias("numbers"), signals.is_fact_dense(F.col("content")).alias("short_dense"))
@@ -564,17 +643,17 @@ def ratio_policy_chat(spark: SparkSession, sf: str) -> DataFrame:
 _KEY = "concat('查询用户记录', CASE WHEN turn % 3 = 0 THEN '写报告' WHEN turn % 3 = 1 THEN '删除旧的数据文件' ELSE '' END)"
 
 
-@query(f"WITH k AS (SELECT conv_id, turn, {_KEY} AS key FROM ({CJK}) WHERE turn < 2000) SELECT conv_id, turn, key FROM k a WHERE EXISTS (SELECT 1 FROM k b WHERE b.conv_id = a.conv_id AND b.turn > a.turn AND (a.key = b.key OR contains(a.key, b.key) OR contains(b.key, a.key)))")
+@query(f"WITH k AS (SELECT conv_id, turn, {_KEY} AS key FROM ({CJK})) SELECT conv_id, turn, key FROM k a WHERE EXISTS (SELECT 1 FROM k b WHERE b.conv_id = a.conv_id AND b.turn > a.turn AND (a.key = b.key OR contains(a.key, b.key) OR contains(b.key, a.key)))")
 def repeated_instructions(spark: SparkSession, sf: str) -> DataFrame:
     return groups.repeated_instructions(cjk(spark, sf))
 
 
 @query(
     "WITH s AS (SELECT conv_id, arg_min(text, turn) FILTER (role = 'system') AS s FROM conversations GROUP BY conv_id), w AS (SELECT c.*, list_distinct(regexp_extract_all(lower(s), '[\\w\\p{L}]+')) AS a, list_distinct(regexp_extract_all(lower(text), '[\\w\\p{L}]+')) AS b FROM conversations c JOIN s USING (conv_id))"
-    " SELECT conv_id, count(*) AS kept FROM w WHERE NOT coalesce(role IN ('user', 'assistant') AND length(text) < 200 AND len(a) > 0 AND len(b) > 0 AND len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) > 0.8, false) GROUP BY conv_id"
+    " SELECT conv_id, turn FROM w WHERE NOT coalesce(role IN ('user', 'assistant') AND length(text) < 200 AND len(a) > 0 AND len(b) > 0 AND len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) > 0.8, false)"
 )
 def echo_removal(spark: SparkSession, sf: str) -> DataFrame:
-    return groups.without_echoes(messages(spark, sf)).groupBy("conv_id").agg(F.count("*").alias("kept"))
+    return groups.without_echoes(messages(spark, sf)).select("conv_id", "turn")
 
 
 @query()
@@ -602,7 +681,7 @@ def simhash_fp(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    _CHAT + "SELECT conv_id, array_to_string(list_distinct(regexp_extract_all(content, 'https?://[^\\s]+')), ' ') AS urls, array_to_string(list_distinct(regexp_extract_all(content, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')), ' ') AS emails FROM chat WHERE turn = 1"
+    _CHAT + "SELECT conv_id, turn, array_to_string(list_distinct(regexp_extract_all(content, 'https?://[^\\s]+')), ' ') AS urls, array_to_string(list_distinct(regexp_extract_all(content, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')), ' ') AS emails FROM chat"
 )
 def signals_extract(spark: SparkSession, sf: str) -> DataFrame:
     m = chat(spark, sf)
@@ -626,9 +705,10 @@ def fidelity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    _CHAT + ", x AS (SELECT conv_id, content AS o, substr(content, 1, 90) AS c FROM chat WHERE turn = 1), e AS (SELECT conv_id, o, c, list_distinct(regexp_extract_all(o, '\\b[A-Z][a-zA-Z]+\\b|\\b\\d[\\d,.]*\\b|\\b[a-zA-Z]+\\d+\\b')) AS eo, list_distinct(regexp_extract_all(c, '\\b[A-Z][a-zA-Z]+\\b|\\b\\d[\\d,.]*\\b|\\b[a-zA-Z]+\\d+\\b')) AS ec,"
+    _CHAT + ", x AS (SELECT conv_id, turn, content AS o, substr(content, 1, 90) AS c FROM chat), e AS (SELECT conv_id, turn, o, c, list_distinct(regexp_extract_all(o, '\\b[A-Z][a-zA-Z]+\\b|\\b\\d[\\d,.]*\\b|\\b[a-zA-Z]+\\d+\\b')) AS eo, list_distinct(regexp_extract_all(c, '\\b[A-Z][a-zA-Z]+\\b|\\b\\d[\\d,.]*\\b|\\b[a-zA-Z]+\\d+\\b')) AS ec,"
     " list_distinct(regexp_extract_all(o, '\\b\\d[\\d,.]*\\b')) AS no, list_distinct(regexp_extract_all(c, '\\b\\d[\\d,.]*\\b')) AS nc FROM x)"
-    " SELECT conv_id, len(list_intersect(eo, ec)) / len(eo) AS entity_recall, len(list_intersect(no, nc)) / len(no) AS number_precision, round_even((1 - len(list_intersect(eo, ec)) / len(eo)) * 100, 0)::BIGINT AS entity_loss FROM e"
+    " SELECT conv_id, turn, CASE WHEN len(eo) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(eo, ec)) / len(eo) END AS entity_recall, CASE WHEN len(no) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(no, nc)) / len(no) END AS number_precision,"
+    " CASE WHEN len(eo) = 0 THEN 0 ELSE round_even((1 - len(list_intersect(eo, ec)) / len(eo)) * 100, 0) END::BIGINT AS entity_loss FROM e"
 )
 def evaluator(spark: SparkSession, sf: str) -> DataFrame:
     m = chat(spark, sf)
@@ -653,11 +733,10 @@ def fact_score(spark: SparkSession, sf: str) -> DataFrame:
     return chat(spark, sf).select("conv_id", "turn", F.round(signals.fact_score(F.col("content")), 6).alias("score"))
 
 
-@query("SELECT event_id, concat('DB pool of ', event_type, ' 5 srv, 2 inst at Cost ', props) AS compact FROM events")
+@query("SELECT event_id, concat('DB pool of ', event_type, ' 5 srv, 2 inst at Total cost ', props) AS compact FROM events")
 def fact_compact(spark: SparkSession, sf: str) -> DataFrame:
     t = F.expr("concat('  -  DB connection pool of ', event_type, chr(10), ' 5 servers, 2 instances   at Total monthly cost ', props, ' ')")
-    t = F.replace(t, F.lit("at Total monthly cost"), F.lit("at Total monthly cost"))
-    return load(spark, sf, "events").select("event_id", F.replace(signals.compact_fact(t), F.lit("at Total cost"), F.lit("at Cost")).alias("compact"))
+    return load(spark, sf, "events").select("event_id", signals.compact_fact(t).alias("compact"))
 
 
 @query("SELECT event_id, 5 AS n, concat('- item ', event_type, '. Kept whole|key: ', event_id, '. Kept too|One.|Two!|Three') AS chunks FROM events")
@@ -700,6 +779,17 @@ def template_prefix(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("conv_id", "x.template", prompts.inject(F.col("x.template"), F.col("x.fields")).alias("restored"))
 
 
+_STABLE = "regexp_replace(regexp_replace(content, '\\d{4}-\\d{2}-\\d{2}', '{iso_date_0}'), 'session_[a-z0-9]{8,}', '{session_0}')"
+
+
+@query(
+    _CHAT + f"SELECT conv_id, turn, role, CASE WHEN role = 'system' THEN {_STABLE} ELSE content END AS content, false AS dynamic_tail FROM chat UNION ALL SELECT conv_id, 6, 'system',"
+    " concat('[DYNAMIC_CONTEXT]', chr(10), 'iso_date_0=', regexp_extract(content, '\\d{4}-\\d{2}-\\d{2}'), CASE WHEN regexp_matches(content, 'session_[a-z0-9]{8,}') THEN concat(chr(10), 'session_0=', regexp_extract(content, 'session_[a-z0-9]{8,}')) ELSE '' END, chr(10), '[/DYNAMIC_CONTEXT]'), true FROM chat WHERE role = 'system'"
+)
+def dynamic_tail(spark: SparkSession, sf: str) -> DataFrame:
+    return prompts.move_dynamic_to_tail(chat(spark, sf))
+
+
 @query(_CHAT + "SELECT conv_id, turn, CASE WHEN role = 'system' THEN regexp_replace(regexp_replace(content, '\\d{4}-\\d{2}-\\d{2}', '{iso_date}'), 'session_[a-z0-9]{8,}', '{session}') ELSE trim(content, concat(' ', chr(10))) END AS content FROM chat")
 def attribute_strip(spark: SparkSession, sf: str) -> DataFrame:
     return prompts.clean_attributes(chat(spark, sf).withColumn("trace_id", F.lit("x"))).select("conv_id", "turn", "content")
@@ -815,23 +905,43 @@ def key_union(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "events").select(F.explode(jsonx.top_keys(F.col("props"))).alias("key")).distinct()
 
 
+@query("SELECT unnest(['order_identifier', 'details', 'customer_name', 'amount', 'k']) AS key UNION SELECT unnest(json_keys(props)) FROM events")
+def key_union_deep(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "events").select(F.explode(jsonx.all_keys(F.expr(_NESTED))).alias("key")).distinct()
+
+
 @query("SELECT user_id, CASE WHEN n <= 4 THEN array_to_string(v, ',') ELSE concat(v[1], ',', v[2], ',...(', n - 4, ' omitted)...,', v[n - 1], ',', v[n]) END AS ends FROM (SELECT user_id, count(*) AS n, list(event_id::VARCHAR ORDER BY event_id) AS v FROM events GROUP BY user_id)")
 def array_ends(spark: SparkSession, sf: str) -> DataFrame:
     v = F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string"))
     return load(spark, sf, "events").groupBy("user_id").agg(v.alias("v")).select("user_id", F.array_join(jsonx.array_ends(F.col("v")), ",").alias("ends"))
 
 
+_FIELDS = {
+    "event_type": "event_type", "event_id": "CAST(event_id AS {s})", "user_bucket": "CAST(event_id % 7 * 20 AS {s})", "day": "concat('2024-01-', CAST(10 + event_id % 20 AS {s}))", "flag": "CAST(event_id % 2 AS {s})",
+    "word": "CASE WHEN event_id % 2 = 0 THEN 'alpha' ELSE 'beta' END", "share": "concat(CAST(event_id % 90 AS {s}), '%')", "user": "concat('u', CAST(user_id AS {s}))", "bool": "CASE WHEN event_id % 2 = 0 THEN 'yes' ELSE 'no' END",
+}
+_LONG = " UNION ALL ".join(f"SELECT '{k}' AS field, event_id AS pos, {x.format(s='VARCHAR')} AS value FROM events" for k, x in _FIELDS.items())
+
+
 @query(
-    """SELECT * FROM (VALUES ('event_type', 'error', false), ('event_id', 'error', false), ('user_bucket', 'numeric', false), ('day', 'temporal', false), ('flag', 'score', false), ('word', 'text', false)) t(field, kind, is_anomaly)"""
+    f"WITH l AS ({_LONG}), r AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY pos) AS r, try_cast(value AS DOUBLE) AS num FROM l),"
+    " g AS (SELECT field, count(*) AS n, count(DISTINCT value) AS u, bool_or(regexp_matches(lower(value), 'error|exception|traceback|fatal|critical|panic|failure|crash|segfault|oom|timeout|refused|denied|forbidden|unauthorized|not found|500|502|503|404|401|403')) AS bad,"
+    " count(num) AS nums, min(num) AS lo, max(num) AS hi, avg(num) AS mean, stddev_samp(num) AS sd, bool_or(contains(value, '%')) AS pct, bool_and(lower(trim(value)) IN ('true', 'false', '1', '0', 'yes', 'no')) AS bools, count_if(r <= 20) AS head,"
+    " count_if(r <= 20 AND regexp_matches(value, '\\d{4}-\\d{2}-\\d{2}|\\d{4}/\\d{2}/\\d{2}|\\d{2}:\\d{2}:\\d{2}|\\d{10,13}|(?i:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)')) AS times,"
+    " bool_or(r <= 10 AND regexp_matches(value, '(?i)\\b(score|rating|confidence|accuracy|precision|recall|f1|auc)\\s*[:=]\\s*[\\d.]+|\\b\\d+(\\.\\d+)?%')) AS scored FROM r GROUP BY field),"
+    " k AS (SELECT *, CASE WHEN bad THEN 'error' WHEN u / n > 0.9 AND n > 3 THEN 'id' WHEN nums > n * 0.7 AND nums >= 2 AND lo >= 0 AND hi <= 100 AND (pct OR scored OR hi <= 1) THEN 'score' WHEN nums > n * 0.7 THEN 'numeric' WHEN times >= head * 0.3 THEN 'temporal' WHEN bools THEN 'boolean' ELSE 'text' END AS kind FROM g)"
+    " SELECT field, n AS \"values\", u AS distinct_values, kind, kind = 'numeric' AND coalesce(sd > 0 AND (hi - mean > 2 * sd OR mean - lo > 2 * sd), false) AS is_anomaly, kind = 'error' AS is_protected FROM k"
 )
 def field_typing(spark: SparkSession, sf: str) -> DataFrame:
-    e = load(spark, sf, "events")
-    fields = {
-        "event_type": F.col("event_type"), "event_id": F.col("event_id").cast("string"), "user_bucket": (F.col("event_id") % 7 * 20).cast("string"),
-        "day": F.date_format(F.date_trunc("day", F.lit("2024-01-01").cast("timestamp")), "yyyy-MM-dd"), "flag": (F.col("event_id") % 2).cast("string"), "word": F.when(F.col("event_id") % 2 == 0, "alpha").otherwise("beta"),
-    }
-    long = e.select("event_id", F.explode(F.create_map(*(x for k, c in fields.items() for x in (F.lit(k), c)))).alias("field", "value"))
-    return jsonx.field_types(long.select("field", F.col("event_id").alias("pos"), "value")).select("field", "kind", "is_anomaly")
+    fields = F.create_map(*(x for k, c in _FIELDS.items() for x in (F.lit(k), F.expr(c.format(s="STRING")))))
+    return jsonx.field_types(load(spark, sf, "events").select(F.col("event_id").alias("pos"), F.explode(fields).alias("field", "value")))
+
+
+@query("SELECT 'event_type' AS field, 'error_content_never_discard' AS hint WHERE EXISTS (SELECT 1 FROM events WHERE event_type = 'error') UNION ALL SELECT 'amount', CASE WHEN max(value) - avg(value) > 2 * stddev_samp(value) OR avg(value) - min(value) > 2 * stddev_samp(value) THEN 'numeric_standard_compress_has_anomaly' END FROM (SELECT (value::BIGINT % 40)::DOUBLE + 200 * (event_id % 50 = 0)::INTEGER + 101 AS value FROM events) HAVING max(value) - avg(value) > 2 * stddev_samp(value) OR avg(value) - min(value) > 2 * stddev_samp(value)")
+def protected_values(spark: SparkSession, sf: str) -> DataFrame:
+    amount = F.expr("CAST(CAST(bround(value) AS BIGINT) % 40 AS DOUBLE) + CASE WHEN event_id % 50 = 0 THEN 200 ELSE 0 END + 101")
+    pairs = F.create_map(F.lit("event_type"), F.col("event_type"), F.lit("amount"), amount.cast("string"), F.lit("word"), F.lit("alpha"))
+    return jsonx.protected_values(jsonx.field_types(load(spark, sf, "events").select(F.col("event_id").alias("pos"), F.explode(pairs).alias("field", "value"))))
 
 
 @query()
@@ -889,8 +999,28 @@ _SHADOW = (
 
 
 @query(_SHADOW)
+def shadow_projection(spark: SparkSession, sf: str) -> DataFrame:
+    m = messages(spark, sf)
+    return pipelines.shadow(m, "mimo-v2.5-pro", ruled=m).select("conv_id", "original_tokens", "policy", "target_ratio", "would_call_smart", "candidate", "smart_tokens")
+
+
+@query()
 def shadow_telemetry(spark: SparkSession, sf: str) -> DataFrame:
-    return pipelines.shadow(messages(spark, sf), "mimo-v2.5-pro").select("conv_id", "original_tokens", "policy", "target_ratio", "would_call_smart", "candidate", "smart_tokens")
+    return pipelines.shadow(messages(spark, sf), "mimo-v2.5-pro")
+
+
+@query(
+    "WITH e AS (SELECT event_id, event_id % 5 <> 0 AS would, CASE WHEN event_id % 10 = 0 THEN 'profit_guard' END AS fallback, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 60 END AS saved, CASE WHEN event_id % 3 = 0 THEN 'protected' ELSE 'safe' END AS policy, event_id % 90 AS spans FROM events),"
+    " r AS (SELECT event_id, CASE WHEN NOT would THEN coalesce(fallback, 'shadow_not_profitable') WHEN saved IS NULL OR saved < 20 THEN 'estimated_savings_below_threshold' WHEN policy = 'protected' THEN 'protected_policy_disabled' WHEN spans > 64 THEN 'too_many_protected_spans' ELSE 'auto_gate_passed' END AS reason FROM e)"
+    " SELECT event_id, reason, reason = 'auto_gate_passed' AS enabled FROM r"
+)
+def gate_rules(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("event_id")
+    t = load(spark, sf, "events").select(
+        "event_id", (i % 5 != 0).alias("would_call_smart"), F.when(i % 10 == 0, "profit_guard").alias("fallback_reason"), F.when(i % 7 != 0, (i % 60).cast("double")).alias("savings_pct"),
+        F.when(i % 3 == 0, "protected").otherwise("safe").alias("policy"), (i % 90).alias("protected_span_count"),
+    )
+    return pipelines.rollout_gate(t, allow_protected=False).select("event_id", "reason", "enabled")
 
 
 @query()
@@ -910,7 +1040,7 @@ def _replies(m: DataFrame) -> DataFrame:
     return r.select("conv_id", F.when(i == 0, F.col("j")).when(i == 1, F.concat(F.lit("```json\n"), F.col("j"), F.lit("\n```"))).otherwise("no list").alias("reply"))
 
 
-@query()
+@query(_CHAT + "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role, content FROM chat WHERE role IN ('system', 'user') AND conv_id % 3 < 2")
 def parse_replies(spark: SparkSession, sf: str) -> DataFrame:
     return pipelines.parse_replies(_replies(chat(spark, sf)))
 
@@ -923,7 +1053,8 @@ def smart_compress(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def production_call(spark: SparkSession, sf: str) -> DataFrame:
-    return pipelines.production(chat(spark, sf), "qwen-max")
+    c = chat(spark, sf)
+    return pipelines.production(c, "qwen-max", _replies(c))
 
 
 @query()
@@ -947,29 +1078,38 @@ def assertion_eval(spark: SparkSession, sf: str) -> DataFrame:
     c = _cases(spark, sf)
     text = F.array_join(F.transform("messages", lambda x: x["content"]), "\n")
     a = cases.assertions(c).join(c.select("id", text.alias("text")), "id")
-    return a.withColumn("x", cases.evaluate_assertion("text", "assertion")).select("id", "pos", "assertion", "x.*")
+    return cases.checked(a).select("id", "pos", "assertion", "found", "missing", "miss")
 
 
 @query()
 def keyword_recall(spark: SparkSession, sf: str) -> DataFrame:
     m = chat(spark, sf)
     k = F.array(F.lit("30 days"), F.lit("0.25 s"), F.lit("250 ms"), F.lit("Invoice"), F.lit("unicorn"))
-    return m.select("conv_id", "turn", cases.keyword_recall(F.col("content"), k).alias("missing"))
+    return m.select("conv_id", "turn", cases.missing_facts(F.col("content"), k).alias("missing"))
+
+
+@query()
+def benchmark_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return pipelines.benchmark_quality(_cases(spark, sf))
+
+
+@query()
+def benchmark_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    return pipelines.benchmark_quality(_cases(spark, sf), 0.4)
 
 
 @query()
 def benchmark_cases(spark: SparkSession, sf: str) -> DataFrame:
     c = _cases(spark, sf)
     out = pipelines.benchmark(c)
-    a = cases.assertions(c).join(out, "id").withColumn("x", cases.evaluate_assertion("text", "assertion"))
-    return cases.case_results(a.select("id", "x.found", "x.miss"))
+    return cases.case_results(cases.checked(cases.assertions(c).join(out.select("id", "text"), "id")).select("id", "found", "miss"))
 
 
-@query("SELECT count(*) AS total_cases, sum(1 + event_id % 3)::BIGINT AS total_qa, sum((1 + event_id % 3) - (event_id % 5 = 0)::INTEGER)::BIGINT AS passed_qa, count_if(event_id % 5 <> 0) AS perfect_cases FROM events")
+@query("SELECT count(*) AS total_cases, sum(1 + event_id % 3)::BIGINT AS total_qa, sum((1 + event_id % 3) - (event_id % 5 = 0)::INTEGER)::BIGINT AS passed_qa, count_if(event_id % 5 <> 0) AS perfect_cases, sum((1 + event_id % 3) - (event_id % 5 = 0)::INTEGER) / sum(1 + event_id % 3) AS qa_rate, string_agg(event_id::VARCHAR, ',' ORDER BY event_id::VARCHAR) FILTER (event_id % 5 = 0) AS failed FROM events")
 def bench_summary(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("event_id")
     r = load(spark, sf, "events").select(i.cast("string").alias("id"), (1 + i % 3).alias("qa_total"), (1 + i % 3 - F.when(i % 5 == 0, 1).otherwise(0)).alias("qa_passed"))
-    return cases.run_summary(r).drop("failed", "qa_rate")
+    return cases.run_summary(r).withColumn("failed", F.array_join("failed", ","))
 
 
 @query("SELECT event_type AS id, count_if(event_id % 2 = 0) AS qa_passed, count(*) AS qa_total, count_if(event_id % 2 = 1 AND event_id % 3 = 0) AS alias_gap, count_if(event_id % 2 = 1 AND event_id % 3 <> 0) AS true_loss, 0::BIGINT AS assertion_gap FROM events GROUP BY event_type")
@@ -988,10 +1128,10 @@ def stream_prefix_hits(spark: SparkSession, sf: str) -> DataFrame:
     return streams.run_once(streams.prefix_hits(streams.as_calls(streams.read_events(spark, sf))), "complete")
 
 
-@query(_STREAM + " SELECT DISTINCT prefix FROM c")
+@query("SELECT DISTINCT props AS hash_key, user_id FROM events")
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    calls_ = streams.as_calls(streams.read_events(spark, sf)).select("prefix", "ts")
-    return streams.run_once(streams.distinct_requests(calls_, ["prefix"], "1000 hours"), "append").select("prefix")
+    requests = streams.read_events(spark, sf).select(F.col("props").alias("hash_key"), "user_id", "ts")
+    return streams.run_once(streams.distinct_requests(requests, ["hash_key", "user_id"], "10000 hours"), "append").select("hash_key", "user_id")
 
 
 @query("SELECT event_id, props AS hash_key, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY props ORDER BY ts, event_id)) <= 3600000000, false) AS hit FROM events")
@@ -1002,12 +1142,25 @@ def stream_recall_ttl(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_STREAM + ", l AS (SELECT prefix, coalesce(max(event_id) FILTER (ok), -1) AS last FROM c GROUP BY prefix) SELECT prefix, count(*) AS attempts, count_if(ok) AS successes, count_if(event_id > last) AS consecutive_failures FROM c JOIN l USING (prefix) GROUP BY prefix")
 def stream_learning(spark: SparkSession, sf: str) -> DataFrame:
-    return streams.run_once(streams.learning_state(streams.as_calls(streams.read_events(spark, sf))), "update")
+    return streams.run_once(streams.learning_state(streams.as_calls(streams.read_events(spark, sf))), "update", ("prefix",))
 
 
-@query()
+@query(_STREAM + ", w AS (SELECT epoch(date_trunc('hour', ts))::BIGINT AS start_s, count(*) AS calls, sum(input_tokens)::BIGINT AS input_tokens FROM c GROUP BY 1) SELECT * FROM w WHERE start_s + 3600 <= (SELECT epoch(max(ts)) - 7200 FROM c)")
 def stream_windowed_costs(spark: SparkSession, sf: str) -> DataFrame:
-    return streams.run_once(streams.windowed_costs(streams.as_calls(streams.read_events(spark, sf))), "append")
+    w = streams.run_once(streams.windowed_costs(streams.as_calls(streams.read_events(spark, sf))), "append")
+    return w.select(F.unix_timestamp("start").alias("start_s"), "calls", "input_tokens")
+
+
+@query("WITH s AS (SELECT DISTINCT props AS hash_key FROM events WHERE event_type = 'click') SELECT event_id, e.props AS hash_key, s.hash_key IS NOT NULL AS served FROM events e LEFT JOIN s ON e.props = s.hash_key")
+def stream_background(spark: SparkSession, sf: str) -> DataFrame:
+    results = load(spark, sf, "events").where("event_type = 'click'").select(F.col("props").alias("hash_key"), F.lit("x").alias("result")).distinct()
+    requests = streams.read_events(spark, sf).select("event_id", F.col("props").alias("hash_key"))
+    return streams.run_once(streams.with_results(requests, results), "append").select("event_id", "hash_key", F.col("result").isNotNull().alias("served"))
+
+
+@query()
+def stream_breaker(spark: SparkSession, sf: str) -> DataFrame:
+    return streams.run_once(streams.breaker_state(streams.as_calls(streams.read_events(spark, sf))), "append")
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

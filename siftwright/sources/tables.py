@@ -17,27 +17,29 @@ INVOICE = (
     " '.json status ', o_orderstatus, '. You must not delete it, max 3 retries in 250ms. Please call update_order(id) thanks')"
 )
 
-CHAT = f"""
-SELECT o_orderkey AS conv_id, CAST(0 AS BIGINT) AS turn, 'system' AS role,
-       concat('You are an order assistant. Today is ', CAST(CAST(o_orderdate AS DATE) AS STRING), ', session_abc', o_custkey,
-              'xyz0. Never share account data.') AS content FROM orders
-UNION ALL
-SELECT o_orderkey, CAST(1 AS BIGINT), 'user', {INVOICE} FROM orders
-UNION ALL
-SELECT o_orderkey, CAST(2 AS BIGINT), 'tool',
-       concat('HTTP/1.1 200 OK', chr(10), 'Content-Type: application/json', chr(10), chr(10), 'request_id: r-', o_orderkey, chr(10),
-              '{{"order": ', o_orderkey, ', "priority": "', o_orderpriority, '", "items": [1, 2]}}', chr(10), 'latency: ', o_custkey % 90, ' ms', chr(10))
-FROM orders
-UNION ALL
-SELECT o_orderkey, CAST(3 AS BIGINT), 'assistant',
-       concat('ok', chr(10), 'TODO: verify order ', o_orderkey, chr(10), 'The order was placed by customer ', o_custkey,
-              ' and its current state is ', o_orderstatus, ' which means that nothing has to be done before the next review of it.', chr(10),
-              CASE WHEN o_orderkey % 3 = 0 THEN 'Error: stock check failed' ELSE 'No problem was found' END) FROM orders
-UNION ALL
-SELECT o_orderkey, CAST(4 AS BIGINT), 'user', concat({INVOICE}, CASE WHEN o_orderkey % 2 = 0 THEN ' again' ELSE ' and then write a long summary of every line item, compare prices and list what changed since last week, or tell me why not' END) FROM orders
-UNION ALL
-SELECT o_orderkey, CAST(5 AS BIGINT), 'user', concat('Can you check order ', o_orderkey, ' status?!! maybe compare 2 prices, ok') FROM orders
-"""
+#: The six turns of an order's chat: role and text.
+TURNS = (
+    ("system", "concat('You are an order assistant. Today is ', CAST(CAST(o_orderdate AS DATE) AS STRING), ', session_abc', o_custkey, 'xyz0. Never share account data.')"),
+    ("user", INVOICE),
+    (
+        "tool",
+        "concat('HTTP/1.1 200 OK', chr(10), 'Content-Type: application/json', chr(10), chr(10), 'request_id: r-', o_orderkey, chr(10),"
+        " '{\"order\": ', o_orderkey, ', \"priority\": \"', o_orderpriority, '\", \"items\": [1, 2]}', chr(10), 'latency: ', o_custkey % 90, ' ms', chr(10))",
+    ),
+    (
+        "assistant",
+        "concat('ok', chr(10), 'TODO: verify order ', o_orderkey, chr(10), 'The order was placed by customer ', o_custkey,"
+        " ' and its current state is ', o_orderstatus, ' which means that nothing has to be done before the next review of it.', chr(10),"
+        " CASE WHEN o_orderkey % 3 = 0 THEN 'Error: stock check failed' ELSE 'No problem was found' END)",
+    ),
+    (
+        "user",
+        f"concat({INVOICE}, CASE WHEN o_orderkey % 2 = 0 THEN ' again' ELSE ' and then write a long summary of every line item, compare prices and list what changed since last week, or tell me why not' END)",
+    ),
+    ("user", "concat('Can you check order ', o_orderkey, ' status?!! maybe compare 2 prices, ok')"),
+)
+#: The same as a table in SQL, a branch for each turn.
+CHAT = " UNION ALL ".join(f"SELECT o_orderkey AS conv_id, CAST({i} AS BIGINT) AS turn, '{role}' AS role, {text} AS content FROM orders" for i, (role, text) in enumerate(TURNS))
 
 TOOL = """
 SELECT event_id, concat('HTTP/1.1 ', CASE WHEN event_type = 'error' THEN '500 Internal Error' ELSE '200 OK' END, chr(10), 'Content-Type: application/json', chr(10),
@@ -81,7 +83,9 @@ def _named(spark: SparkSession, sf_dir: str, table: str) -> str:
 
 
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, CHAT, "orders")
+    """Each order's chat; one scan gives its six messages."""
+    turns = F.array(*(F.struct(F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), F.expr(text).alias("content")) for i, (role, text) in enumerate(TURNS)))
+    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("conv_id"), F.inline(turns))
 
 
 def tool(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +124,30 @@ def write_summary(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def probe(payloads: DataFrame, column: str = "payload", error: str = "error") -> DataFrame:
+    """Each probe's models, or why there are none: ``payloads`` with ``models`` (an array), ``source`` and ``failure_reason``.
+
+    A null payload is a failed request (``error`` says how); one that lists nothing is a failure too, never an exception.
+    """
+    keys = [c for c in payloads.columns if c not in (column, error)]
+    listed = inventory(payloads.drop(error), column).groupBy(*keys).agg(F.array_sort(F.collect_set("model")).alias("models"))
+    out = payloads.join(listed, keys, "left").withColumn("models", F.coalesce("models", F.array().cast("array<string>")))
+    why = F.when(F.col(column).isNull(), F.concat(F.lit("/models probe failed: "), F.substring(F.coalesce(F.col(error), F.lit("no reply")), 1, 200))).when(F.size("models") == 0, "/models listed no model")
+    return out.withColumns({"failure_reason": why, "source": F.when(why.isNull(), "models_inventory").otherwise("probe_failure")}).drop(column, error)
+
+
+def configured_models(providers: DataFrame, listed: DataFrame) -> DataFrame:
+    """(provider, model) that both a provider's configuration and its inventory name, text models only.
+
+    ``providers`` has (provider, models array): an empty one admits all that are listed. A provider without an inventory keeps
+    its configured models.
+    """
+    wanted = providers.select("provider", F.explode("models").alias("model")).distinct()
+    has = listed.select("provider").distinct()
+    both = wanted.join(listed.select("provider", "model").distinct(), ["provider", "model"], "left_semi").union(wanted.join(has, "provider", "left_anti"))
+    return both.union(listed.select("provider", "model").distinct().join(providers.where("size(models) = 0").select("provider"), "provider", "left_semi"))
+
+
 def inventory(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """Model ids of listing replies: ``{"data": [...]}`` or a plain list, of strings or of objects with id, name or model."""
     v = F.expr(f"try_parse_json({column})")

@@ -6,15 +6,14 @@ an extension of this engine.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.costs import Breaker
 from ..operators.recall import TTL
+from ..sources.scratch import new_path
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,16 +86,47 @@ def learning_state(calls: DataFrame) -> DataFrame:
     return calls.groupBy("prefix").applyInPandasWithState(step, "prefix string, attempts long, successes long, consecutive_failures long", "n long, ok long, run long", "update", GroupStateTimeout.NoTimeout)
 
 
-def with_results(requests: DataFrame, results: DataFrame) -> DataFrame:
+def breaker_state(calls: DataFrame, most: int = 2, cooldown: int = 20) -> DataFrame:
+    """Each call (user_id, event_id, ok) with whether a circuit breaker blocks it; a user's breaker is three numbers of state.
+
+    Calls are taken in order of events within a batch; those of a later batch come later.
+    """
+
+    def step(key: tuple, batches, state: GroupState):
+        breaker = Breaker(most, cooldown, *(state.get if state.exists else ()))
+        rows = pd.concat(list(batches)).sort_values("event_id", kind="stable")
+        blocked = [breaker.blocks(bool(ok)) for ok in rows["ok"]]
+        state.update((breaker.call, breaker.failures, breaker.until))
+        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].to_numpy(), "blocked": blocked})
+
+    return calls.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, blocked boolean", "call long, failures long, until long", "append", GroupStateTimeout.NoTimeout)
+
+
+def with_results(requests: DataFrame, results: DataFrame, key: str = "hash_key") -> DataFrame:
     """Requests joined with a table of finished background results by key (stream with static table)."""
-    return requests.join(results, "hash_key", "left")
+    return requests.join(results, key, "left")
+
 
+def run_once(df: DataFrame, mode: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Run a streaming query over what there is now, and return its rows as a table in the shared folder.
 
-def run_once(df: DataFrame, mode: str, path: str | None = None) -> DataFrame:
-    """Run a streaming query over what there is now, and return its rows as a table."""
+    Every batch is a folder of its own, written again if it is run again. ``complete`` keeps the last batch; ``update``
+    the last row of each of ``keys``; ``append`` all rows.
+    """
     spark = df.sparkSession
-    name = f"stream_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start() if mode != "complete" else df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    path, schema = new_path(spark, "stream"), df.schema
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/rows/batch=-1")  # also where there was no batch
+    rows = spark.read.schema(schema.add("batch", "long")).parquet(f"{path}/rows")
+    if mode == "complete":
+        last = rows.agg(F.max("batch")).first()[0]
+        return rows.where(F.col("batch") == F.lit(last)).drop("batch")
+    if mode == "update" and keys:
+        names = [c for c in rows.columns if c != "batch"]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*names), "batch").alias("x")).select("x.*")
+    return rows.drop("batch")

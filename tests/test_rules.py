@@ -3,6 +3,8 @@
 import json
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siftwright.functions import rules, signals, tokens
@@ -70,25 +72,75 @@ def test_simhash_forms_agree(spark):
     assert got == {i: dedup.simhash(t) for i, t in enumerate(texts)}
 
 
-def test_pack_skips_what_does_not_fit():
-    assert pack.pack(["aaaa", "bbbbbb", "cc"], [3.0, 2.0, 1.0], 7, False) == [0, 2]
-    assert pack.pack(["aaaa", "bb"], [0.0, 1.0], 7, True) == [0, 1]
-    assert pack.pack(["aaaa"], [1.0], 2, True) == []
-
+def _units(texts, scores, code=()):
+    return [pack.Unit(i, t, s, i in code) for i, (t, s) in enumerate(zip(texts, scores))]
 
-def test_keyword_aliases():
-    assert cases.missing_facts("we pay 20% in 200 ms", ["0.20", "20%"]) == []
-    assert cases.missing_facts("nothing", ["OAuth2", "compliance"]) == ["OAuth2", "compliance"]
-    assert cases.missing_facts("OAuth2 only", ["OAuth2", "compliance"]) == ["compliance"]
-    assert cases.same_fact("30 real-world cases", "30 cases") and not cases.same_fact("30 cases", "45 apples")
-    assert cases.number("seven hundred") == 700 and cases.number("$5K") == 5000 and cases.number("x") is None
 
-
-def test_assertions():
-    assert cases.check("a b", {"type": "all_of", "values": ["a", "z"]}) == (False, ["z"], "true_loss")
-    assert cases.check("a", {"type": "any_of", "values": ["q", "z"]})[2] == "alias_gap"
-    assert cases.check("a", {"type": "odd"})[2] == "assertion_gap"
-    assert cases.check("now 7", {"type": "latest_value", "current": "7"})[0]
+def test_pack_skips_what_does_not_fit():
+    kept = lambda *a: sorted(u.place for u in pack.fold(*a))
+    assert kept(_units(["aaaa", "bbbbbb", "cc"], [3.0, 2.0, 1.0]), 7, pack.by_score) == [0, 2]
+    assert kept(_units(["aaaa", "bb"], [0.0, 1.0]), 7, pack.facts_first) == [0, 1]
+    assert kept(_units(["aaaa"], [1.0]), 2, pack.facts_first) == []
+
+
+@given(st.lists(st.tuples(st.text("ab\n", max_size=9), st.floats(-2, 9), st.booleans()), max_size=12), st.integers(0, 60))
+def test_pack_properties(rows, room):
+    units = [pack.Unit(i, t, s, c) for i, (t, s, c) in enumerate(rows)]
+    for order in (pack.by_score, pack.facts_first):
+        kept = pack.fold(units, room, order)
+        total = sum(len(u.text) for u in kept) + max(0, len(kept) - 1)
+        assert total <= room or not kept
+        # nothing that was left out would still fit
+        assert all(u in kept or total + len(u.text) + bool(kept) > room for u in units)
+        ranked = sorted(units, key=order)
+        assert not ranked or len(ranked[0].text) > room or ranked[0] in kept
+    over = pack.fold(units, room, pack.by_score, room // 2)
+    assert all(u in over for u in units if u.code and len(u.text) <= room // 2)
+
+
+def test_dense_packing_repeats_lines_and_keeps_runs_whole(spark):
+    lines = ["key: 12 ms", "ok", "key: 12 ms", "thanks"]
+    text = "\n".join(lines)
+    df = spark.createDataFrame([(text,), ("x = 1\ny = 2\nplain words here and there",), ("one line only",)], "t string")
+    got = [r.packed for r in pack.packed(df, "packed", "t", F.lit(22), F.lit(False)).collect()]
+    assert got[0] == "key: 12 ms\nkey: 12 ms" and got[1].startswith("x = 1\ny = 2") and len(got[1]) <= 22 and got[2] == "one line only"
+
+
+def missing(spark, text, *lists):
+    rows = spark.createDataFrame([(i, text, k) for i, k in enumerate(lists)], "i int, t string, k array<string>")
+    return [r.m for r in rows.select("i", cases.missing_facts(F.col("t"), F.col("k")).alias("m")).orderBy("i").collect()]
+
+
+def test_keyword_aliases(spark):
+    assert missing(spark, "we pay 20% in 200 ms", ["0.20", "20%"], ["200 ms"], ["20 %", "gone"]) == [[], [], ["gone"]]
+    assert missing(spark, "nothing", ["OAuth2", "compliance"], [], None) == [["OAuth2", "compliance"], [], []]
+    assert missing(spark, "OAuth2 only", ["OAuth2", "compliance"]) == [["compliance"]]
+    assert missing(spark, None, ["a"]) == [["a"]]
+    # number words and digits are one fact, as are counts of the same thing; counts of others are not
+    budget = "Token Optimizer gets {} USD. The combined budget is 4.5k dollars."
+    assert missing(spark, budget.format("nine hundred"), ["nine hundred", "900"]) == [[]] and missing(spark, budget.format("900"), ["nine hundred", "900"]) == [[]]
+    for n in ("30 real-world cases", "30 cases"):
+        assert missing(spark, f"Need at least {n} before claiming production readiness.", ["30 real-world cases", "30 cases"], ["30 real-world cases", "OAuth2"])[0] == []
+    assert missing(spark, "Need at least 30 real-world cases before.", ["30 real-world cases", "OAuth2"]) == [["OAuth2"]]
+    assert missing(spark, "Budget includes 30 credits for the pilot.", ["30 credits", "30 cases"]) == [["30 cases"]]
+    assert missing(spark, "go southeast", ["SE"], ["se", "southeast"]) == [["SE"], []]
+    # a group forms around its first member: c is an alias of b, not of a
+    assert missing(spark, "zz", ["abc", "abcd", "bcd", "abc1"]) == [["abc", "abcd", "abc1", "bcd"]]
+
+
+def test_number_forms(spark):
+    assert [one(spark, signals.number_of, t) for t in ("seven hundred", "$5K", "x", "1,200 ms", "nine")] == [700, 5000, None, 1200, 9]
+
+
+def test_assertions(spark):
+    asked = [
+        ("a b", {"type": "all_of", "values": ["a", "z"]}), ("a", {"type": "any_of", "values": ["q", "z"]}), ("a", {"type": "odd"}), ("now 7", {"type": "latest_value", "current": "7"}),
+        ("Friday", {"type": "present", "value": "Friday"}), ("x", {"type": "present", "values": ["x", "y"]}), ("x", {"values": ["y"]}), ("7 days", {"type": "all_of", "values": ["7 days", "8 days"]}),
+    ]
+    df = spark.createDataFrame([(i, t, json.dumps(a)) for i, (t, a) in enumerate(asked)], "i int, text string, assertion string")
+    got = [(r.found, r.missing, r.miss) for r in cases.checked(df).orderBy("i").collect()]
+    assert got[0] == (False, ["z"], "true_loss") and got[1][2] == "alias_gap" and got[2] == (False, ["unsupported assertion type: odd"], "assertion_gap") and got[3][0]
+    assert got[4][0] and got[5][1] == ["y"] and got[6] == (False, ["y"], "true_loss") and got[7][1] == ["8 days"]
 
 
 def test_json_alias_round_trip(spark):
@@ -143,8 +195,8 @@ def test_case_files_and_summary(spark, tmp_path):
     (tmp_path / "in/b.json").write_text(json.dumps(other))
     c = tables.load_cases(spark, str(tmp_path / "in"))
     text = F.array_join(F.transform("messages", lambda m: m["content"]), "\n")
-    a = cases.assertions(c).join(c.select("id", text.alias("text")), "id").withColumn("x", cases.evaluate_assertion("text", "assertion"))
-    res = cases.case_results(a.select("id", "x.found", "x.miss"))
+    a = cases.checked(cases.assertions(c).join(c.select("id", text.alias("text")), "id"))
+    res = cases.case_results(a.select("id", "found", "miss"))
     assert {tuple(r)[:3] for r in res.collect()} == {("c1", 1, 2), ("c2", 0, 1)}
     tables.write_summary(cases.run_summary(res), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).first().total_qa == 3

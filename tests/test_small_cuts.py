@@ -1,7 +1,5 @@
 """Rows and names that were once left out."""
 
-import corpus_pipeline
-
 from siftwright.operators import lookups
 
 
@@ -9,8 +7,3 @@ def test_non_text_models(spark):
     names = ["my-asr", "x-stt-1", "voice-2", "speech-hd", "qwen-vision", "a-tts", "plain", "gpt-4o"]
     kept = lookups.text_models(spark.createDataFrame([(n,) for n in names], "model string")).collect()
     assert sorted(r.model for r in kept) == ["gpt-4o", "plain"]
-
-def test_repeated_id_keeps_both_texts(spark):
-    one, two = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
-    docs = spark.createDataFrame([(1, one), (1, two), (1, one), (2, one)], "doc_id long, text string")
-    assert sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs, "").collect())) == [(1, one), (1, two)]
