@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import drop_tables, exists, materialise, shared_dir
+
+__all__ = ["Words", "blocks", "components", "drop_tables", "exists", "groups", "materialise", "mix", "shared_dir", "signed", "text_key", "texts_of", "windows"]
+
 #: Bytes of text taken together by the vectorised passes; bounds a worker's memory.
 BLOCK_BYTES = 4_000_000
 #: Bytes whose powers are kept, and the longest word that is hashed with them.
@@ -24,56 +22,6 @@ CHUNK, LONG_WORD = 1 << 18, 1024
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWER = 0x9E3779B97F4A7C17
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where that is unset, a local session (as in tests) gets a folder of its own; on a cluster it is an error, since
-    executors would not see the driver's files.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = getattr(spark, "_siftwright_scratch", None)
-        if path is None:
-            if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            path = spark._siftwright_scratch = tempfile.mkdtemp(prefix="siftwright-")
-            atexit.register(shutil.rmtree, path, True)
-    return path.rstrip("/")
-
-
-@contextmanager
-def _shuffles_end_with_the_query(spark: SparkSession):
-    """Inside, a query's shuffle files go as soon as it ends: what it wrote is a table, nothing reads them again."""
-    old = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(_CLEANUP, old)
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts its lineage.
-
-    A lost executor costs a re-read of these files, never a recomputation of what led to them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siftwright/{name}-{uuid.uuid4().hex}"
-    with _shuffles_end_with_the_query(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._siftwright_path = path
-    return out
-
-
-def drop_tables(*tables: DataFrame) -> None:
-    """Delete the files of tables written by :func:`materialise` that no later step reads."""
-    for t in tables:
-        p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._siftwright_path)
-        p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def text_key(text: Column) -> list[Column]:
