@@ -18,7 +18,7 @@ WINDOW = 10
 SHINGLE = 3
 #: Distinct benchmark shingles up to which they are a literal set inside the scan; beyond it, a shuffle join.
 LITERALS = 50_000
-#: Benchmark windows up to which the join may broadcast them.
+#: Rows of windows, or of their items, up to which a join may broadcast them.
 BROADCAST_WINDOWS = 100_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -104,12 +104,14 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Da
     prefix = prefix.where("x.n > 0").select("k", "w", F.col("x.h").alias("h"), F.col("x.j").alias("j"))
     prefix = prefix.join(wins.select("k", "w", "len", "sh").distinct(), ["k", "w"])
     prefix = materialise(prefix, "prefix")
-    small = prefix.count() <= BROADCAST_WINDOWS
+    # (windows that occur are few, their items may be many, so each side is counted by itself)
+    items = materialise(wins.select("w", F.col("item_id").cast("string").alias("item")).distinct(), "items")
+    prefix, items = (F.broadcast(x) if x.count() <= BROADCAST_WINDOWS else x for x in (prefix, items))
 
     # what a window can need around a hit, cut out before any shuffle
     context = F.slice("hits", F.greatest(F.col("at") + 2 - window, F.lit(1)), F.lit(2 * window))
     each = each.select("th", "tl", "n_words", "k", "h", "i", F.least(F.col("at"), F.lit(window - 1)).alias("c"), context.alias("ctx"))
-    pairs = each.join(F.broadcast(prefix) if small else prefix, ["k", "h"])
+    pairs = each.join(prefix, ["k", "h"])
     # position and length bounds: the window lies within the document, and its run within the hits
     pairs = pairs.where("i >= j AND c >= j AND i - j + len <= n_words AND size(ctx) >= c - j + size(sh)")
     # (the bounds above are not sure to be looked at first)
@@ -118,10 +120,9 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Da
     occur = pairs.select("th", "tl", "n_words", "w", (F.col("i") - F.col("j")).alias("p"), "len")
 
     # per text: covered words from the merged spans, and the items of its windows
-    items = wins.select("w", F.col("item_id").cast("string").alias("item")).distinct()
     spans = occur.groupBy("th", "tl").agg(F.sort_array(F.collect_set(F.struct("p", "len"))).alias("spans"))
     covered = F.expr("aggregate(spans, named_struct('end', 0, 'n', 0L), (s, x) -> named_struct('end', greatest(s.end, x.p + x.len), 'n', s.n + greatest(0, x.p + x.len - greatest(s.end, x.p)))).n")
-    named = occur.select("th", "tl", "w").distinct().join(F.broadcast(items) if small else items, "w").groupBy("th", "tl").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    named = occur.select("th", "tl", "w").distinct().join(items, "w").groupBy("th", "tl").agg(F.array_sort(F.collect_set("item")).alias("items"))
     found = spans.select("th", "tl", covered.alias("n_hit")).join(named, ["th", "tl"])
     out = told.select("doc_id", "th", "tl", "n_words").join(found, ["th", "tl"], "left")
     return out.select(
