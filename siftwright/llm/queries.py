@@ -33,7 +33,7 @@ def op1_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(_table(spark, sf_dir, "documents"))
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"), known=sharding.map_path(spark, sf_dir, "op2"))
 
 
 def op3_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,19 +7,24 @@ bytes as the new balance needs.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import exists, shared_dir
+
 SLOTS = 4096
 SHARDS = 24
 #: Bytes that a record has besides its text.
 OVERHEAD = 8
 #: Ranges of positions by which the rows of a shard are counted off, so that no task holds a whole shard.
 RANGES = 256
+#: Rows of a slot that are counted off together, about.
+PART_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -87,6 +92,28 @@ def rebalanced(old: SlotMap, loads: list[int], shards: int | None = None, slack:
     return SlotMap(old.version + 1, shards, tuple(shard))
 
 
+def current_map(spark: SparkSession, path: str, loads: list[int], shards: int) -> SlotMap:
+    """The stored map at ``path``, edited for these loads: its first version is made where there is none, a new one is added where slots move.
+
+    A version is settled, so the same loads find it again as it is.
+    """
+    if not exists(spark, path):
+        new = replace(rebalanced(first_map(loads, shards), loads), version=1)
+        new.save(spark, path)
+        return new
+    old = SlotMap.load(spark, path)
+    new = rebalanced(old, loads, max(shards, old.shards))
+    if new.shard == old.shard and new.shards == old.shards:
+        return old
+    new.save(spark, path)
+    return new
+
+
+def map_path(spark: SparkSession, table: str, use: str) -> str:
+    """Where the map of a table's shards for one use is kept, in the shared folder."""
+    return f"{shared_dir(spark)}/siftwright/maps/{use}-{hashlib.sha256(table.encode()).hexdigest()[:16]}"
+
+
 def _parts() -> dict[str, Column]:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     crc = F.crc32(F.encode(text, "UTF-8"))
@@ -103,41 +130,52 @@ def slot_loads(docs: DataFrame) -> tuple[list[int], list[int]]:
     return loads, counts
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, known: SlotMap | None = None, carry: bool = False, order: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def _counted_off(d: DataFrame, group: str, part: str, order: list[str]) -> DataFrame:
+    """``d`` with ``place``: from 0 and gapless within ``group``, by its parts and in ``order`` inside them. A task holds one part."""
+    n = d.groupBy(group, part).agg(F.count("*").alias("n"))
+    before = n.select(group, part, (F.sum("n").over(Window.partitionBy(group).orderBy(part)) - F.col("n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(group, part).orderBy(*order)) - 1
+    return d.withColumn("_in", place).join(before, [group, part]).withColumn("place", (F.col("_before") + F.col("_in")).cast("long")).drop("_before", "_in", part)
+
+
+def shard_documents(
+    docs: DataFrame, shards: int = SHARDS, known: SlotMap | str | None = None, carry: bool = False, order: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Every row's shard, and its place in it, gapless from 0.
 
     Reads ``doc_id`` and ``text`` of ``docs`` and returns doc_id, size, text_crc32, law (``bytes``: the shards'
     sums of sizes are near equal), shard, slot, grown_shard (null), virtual_slot and map_version; with ``carry``
-    all columns of ``docs`` come first, and any of its own by those names give way. A null text has no bytes and
+    all columns of ``docs`` come first, any by those names as ``own_`` and its name. A null text has no bytes and
     the checksum of the empty one. Null ids and repeated rows are rows like any other; rows alike in id and text
-    share a virtual slot, which stays in one shard. Without ``known`` a first map is made for ``docs``. ``order``
-    adds ``position`` (whole, from 0, unique, the same each time) to the rows, and places follow it; without it they
-    follow virtual slots and ids.
+    share a virtual slot, which stays in one shard, and are counted off together.
+
+    ``known`` is a map, or the path of a table of its versions: the latest is used, and a new one is added if these
+    documents need it. Without it a first map is made for ``docs``. ``order`` adds ``position`` (whole, from 0, unique, the
+    same each time) to the rows, and places follow it; without it they follow virtual slots and a hash of the ids.
     """
     spark = docs.sparkSession
     made = ["size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot", "map_version"]
-    d = docs.drop(*made).withColumns(_parts())
+    inner = ["position", "place"]
+    d = docs.withColumnsRenamed({c: f"own_{c}" for c in (*made, *inner) if c in docs.columns}).withColumns(_parts())
     loads, counts = slot_loads(d)
+    if isinstance(known, str):
+        known = current_map(spark, known, loads, shards)
     known = known or first_map(loads, shards)
     start, seen = [], [0] * known.shards
     for i, s in enumerate(known.shard):
         start.append(seen[s])
         seen[s] += counts[i]
     rows = [(i, s, start[i], known.version) for i, s in enumerate(known.shard)]
-    table = spark.createDataFrame(rows, "virtual_slot int, shard int, start long, map_version int")
+    table = F.broadcast(spark.createDataFrame(rows, "virtual_slot int, shard int, _start long, map_version int"))  # SLOTS rows
     if not carry:
         d = d.select("doc_id", "size", "text_crc32", "virtual_slot")
     kept = [c for c in d.columns if c not in made]
     if order is None:
-        place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
-        out = d.withColumn("place", place).join(F.broadcast(table), "virtual_slot")  # SLOTS rows
+        parts = max(1, sum(counts) // (SLOTS * PART_ROWS))
+        d = d.withColumn("_part", F.pmod(F.xxhash64("text_crc32", "doc_id", F.lit(3)), F.lit(parts)))
+        out = _counted_off(d, "virtual_slot", "_part", ["doc_id", "text_crc32", "size"]).join(table, "virtual_slot").withColumn("slot", F.col("_start") + F.col("place"))
     else:
-        d = order(d).join(F.broadcast(table.drop("start")), "virtual_slot").withColumn("_range", F.expr(f"position div {max(1, -(-sum(counts) // RANGES))}"))
-        n = d.groupBy("shard", "_range").agg(F.count("*").alias("n"))
-        before = F.sum("n").over(Window.partitionBy("shard").orderBy("_range")) - F.col("n")
-        place = F.row_number().over(Window.partitionBy("shard", "_range").orderBy("position"))
-        out = d.withColumn("place", place).join(F.broadcast(n.select("shard", "_range", before.alias("start"))), ["shard", "_range"])
-    return out.select(
-        *kept, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("place") - 1).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version",
-    )
+        d = order(d).join(table, "virtual_slot").withColumn("_range", F.expr(f"position div {max(1, -(-sum(counts) // RANGES))}"))
+        out = _counted_off(d, "shard", "_range", ["position"]).withColumn("slot", F.col("place"))
+    back = [F.col(c).alias(c.removeprefix("own_") if c.removeprefix("own_") in inner else c) for c in kept]
+    return out.select(*back, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
