@@ -41,9 +41,9 @@ def logistic(x: list[float], w: list[float]) -> float:
 
 
 def marked(labels: DataFrame, column: str, of: int, out: int) -> DataFrame:
-    """(id, label) of the labels (0 or 1) to learn from: those whose fold isn't ``out``."""
-    marks = labels.select(F.col("doc_id").alias("id"), F.col(column).cast("int").alias("label"))
-    return marks.where("label in (0, 1)").where(fold("id", of) != out).dropDuplicates(["id"])
+    """(id, label) of the labels (0 or 1) to learn from: those whose fold isn't ``out``. An id whose labels disagree tells nothing."""
+    marks = labels.select(F.col("doc_id").alias("id"), F.col(column).cast("int").alias("label")).where("label in (0, 1)").where(fold("id", of) != out)
+    return marks.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("_other")).where("label = _other").select("id", "label")
 
 
 def sample(marks: DataFrame, label: int, limit: int) -> DataFrame:
@@ -52,9 +52,14 @@ def sample(marks: DataFrame, label: int, limit: int) -> DataFrame:
 
 
 def texts_of_sample(docs: DataFrame, picked: DataFrame, name: str) -> DataFrame:
-    """(label, text) of the picked ids, as a scratch table. Their number is bounded by the sample's limits, so they go to the documents."""
+    """(label, text) of the picked ids, one text each, as a scratch table.
+
+    Their number is bounded by the sample's limits, so they go to the documents. Of an id's texts the one with the
+    smallest hash is taken, before any of them are shuffled.
+    """
     d = docs.select(F.col("doc_id").alias("_doc"), F.col("text").cast("string").alias("text")).where("text is not null")
-    return materialise(d.join(F.broadcast(picked), F.col("_doc") == F.col("id")).select("label", "text"), name)
+    found = d.join(F.broadcast(picked), F.col("_doc") == F.col("id"))
+    return materialise(found.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("label", "text"), name)
 
 
 def label_counts(rows: DataFrame) -> dict[int, int]:

@@ -28,48 +28,68 @@ LEXICON_TOXIC, LEXICON_CLEAN, CALIBRATION_DOCS = 1500, 3000, 2500
 #: Lengths of word beginnings, least toxic documents of one, least log odds of a match.
 SHORTEST, LONGEST, SUPPORT, LEAST = 3, 8, 5, 2.5
 
-# Function words of the grammar.
-TARGETS = frozenset("you your yours yourself u ur du dich dir euch ihr tu toi te vous usted ustedes vosotros".split())
-NEGATIONS = frozenset("not never no nobody isnt arent dont nicht kein keine nie pas jamais aucun nunca jamás nadie".split())
+# Function words of the grammar. A threat's verbs come with their forms.
+TARGETS = frozenset("you your yours u ur du dir ihr tu toi vous usted ustedes vosotros ti".split())
+SELVES = frozenset("yourself yourselves dich euch te toi-même vous-même".split())
+NEGATIONS = frozenset("not never no nobody cannot nicht kein keine nie niemand pas jamais aucun nunca jamás nadie".split())
 REPORTS = frozenset("said says wrote called quoted reported claimed sagte schrieb nannte dit écrit appelé dijo escribió llamó".split())
-THREATS = frozenset("kill hurt destroy burn shoot beat töten schlagen verbrennen tuer frapper brûler matar golpear quemar".split())
-
-_TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]")
+INTENTS = frozenset("will shall gonna going want werde werden wollen vais allons vas va voy vamos".split())
+CONTRASTS = frozenset("but however aber sondern mais pero sino".split())
+THREATS = frozenset(
+    "kill kills killing killed hurt hurts hurting destroy destroys destroying burn burns burning shoot shoots shooting beat beats beating murder murdering stab stabbing"
+    " töten töte schlagen schlage verbrennen verbrenne umbringen tuer tue frapper frappe brûler brûle matar mato golpear golpeo quemar quemo".split()
+)
+#: A contraction with "not", a word, or the end of a clause.
+_TOKEN = re.compile(r"[^\W\d_]+n['’]t(?![^\W_])|[^\W\d_]+(?:-même)?|[.!?;\n]")
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """A deterministic weighted transducer over token classes; a missing arc stays in its state with weight 1."""
+    """A deterministic weighted transducer over token classes; a missing arc stays in its state with weight 1.
+
+    An arc of three ends a threat: the pattern itself is worth something, whatever its words are worth alone.
+    """
 
     start: str
     arcs: dict = field(hash=False)
 
-    def step(self, state: str, symbol: str) -> tuple[str, float]:
-        return self.arcs.get((state, symbol), (state, 1.0))
-
-
-#: Classes: insult, threat, target, negation, report, word, end of clause.
-SYMBOLS = "ITYNRW#"
-#: An insult near its target is worth more, whichever comes first.
-TARGET = Transducer("-", {("-", "Y"): ("y", 1.0), ("-", "I"): ("i", 1.0), ("y", "I"): ("y", 1.5), ("y", "T"): ("y", 3.0), ("i", "I"): ("i", 1.0), ("-", "#"): ("-", 1.0), ("y", "#"): ("-", 1.0), ("i", "#"): ("-", 1.0), ("i", "Y"): ("y", 1.25)})
-#: A threat counts with a target or an insult in its clause; alone it is an ordinary word.
-THREAT = Transducer("-", {("-", "I"): ("i", 1.0), ("-", "T"): ("t", 0.0), ("-", "Y"): ("y", 1.0), ("t", "I"): ("i", 1.5), ("i", "T"): ("i", 1.0), ("y", "T"): ("y", 1.0), ("y", "I"): ("i", 1.0), ("t", "Y"): ("y", 3.0), ("t", "T"): ("t", 0.0), ("i", "#"): ("-", 1.0), ("t", "#"): ("-", 1.0), ("y", "#"): ("-", 1.0)})
-#: Within three tokens after a negation a match is worth a quarter.
+    def step(self, state: str, symbol: str) -> tuple[str, float, bool]:
+        to, weight, *ends = self.arcs.get((state, symbol), (state, 1.0))
+        return to, weight, bool(ends)
+
+
+#: Classes: insult, threat, target, self, negation, report, intent, contrast, word, end of clause.
+SYMBOLS = "ITYSNRVCW#"
+#: An insult after its target in a clause is worth more.
+TARGET = Transducer("-", {("-", "Y"): ("y", 1.0), ("-", "S"): ("y", 1.0), ("y", "I"): ("y", 1.5), ("y", "#"): ("-", 1.0)})
+#: Intent, a threat's verb and then its target, with up to two words between; intent, object, verb; or the verb and a self.
+THREAT = Transducer(
+    "-",
+    {("v", "S"): ("vs", 1.0), ("vs", "T"): ("-", 1.0, "threat"), ("vs", "W"): ("v", 1.0), ("vs", "#"): ("-", 1.0)}
+    | {("-", "V"): ("v", 1.0), ("v", "T"): ("t2", 1.0), ("-", "T"): ("b", 1.0), ("b", "S"): ("-", 1.0, "threat"), ("b", "V"): ("v", 1.0)}
+    | {("b", c): ("-", 1.0) for c in "IYNRCW"}
+    | {(t, c): ("-", 1.0, "threat") for t in ("t0", "t1", "t2") for c in "YS"}
+    | {(f"t{k}", c): (f"t{k - 1}", 1.0) for k in (1, 2) for c in "INRVCW"}
+    | {("t0", c): ("-", 1.0) for c in "INRVCW"}
+    | {(s, "#"): ("-", 1.0) for s in ("v", "b", "t0", "t1", "t2")},
+)
+#: A match is worth a quarter within five tokens after a negation, up to a contrast or the clause's end.
 NEGATION = Transducer(
     "0",
-    {(s, "N"): ("3", 1.0) for s in "0123"}
-    | {(str(k), c): (str(k - 1), 0.25 if c in "ITY" else 1.0) for k in (1, 2, 3) for c in "ITYRW"}
-    | {(s, "#"): ("0", 1.0) for s in "0123"},
+    {(s, "N"): ("5", 1.0) for s in "012345"}
+    | {(str(k), c): (str(k - 1), 0.25 if c in "ITYS" else 1.0) for k in range(1, 6) for c in "ITYSRVW"}
+    | {(s, c): ("0", 1.0) for s in "12345" for c in "#C"},
 )
 #: After a verb of report a match is worth half until the clause ends.
-REPORTED = Transducer("-", {("-", "R"): ("r", 1.0), ("r", "I"): ("r", 0.5), ("r", "T"): ("r", 0.5), ("r", "#"): ("-", 1.0)})
+REPORTED = Transducer("-", {("-", "R"): ("r", 1.0)} | {("r", c): ("r", 0.5) for c in "ITYS"} | {("r", "#"): ("-", 1.0)})
+PARTS = (TARGET, THREAT, NEGATION, REPORTED)
 
 
-def compose(*parts: Transducer) -> tuple[int, dict[str, list[tuple[int, float]]]]:
+def compose(parts: tuple[Transducer, ...]) -> tuple[int, dict[str, list[tuple[int, float, bool]]]]:
     """The product of the parts, weights multiplied along each arc: its start, and per symbol the arcs by state."""
     seen = {tuple(p.start for p in parts): 0}
     todo, arcs = list(seen), {s: [] for s in SYMBOLS}
-    rows: dict[tuple[int, str], tuple[int, float]] = {}
+    rows: dict[tuple[int, str], tuple[int, float, bool]] = {}
     while todo:
         state = todo.pop()
         for symbol in SYMBOLS:
@@ -78,7 +98,7 @@ def compose(*parts: Transducer) -> tuple[int, dict[str, list[tuple[int, float]]]
             if to not in seen:
                 seen[to] = len(seen)
                 todo.append(to)
-            rows[seen[state], symbol] = (seen[to], math.prod(m[1] for m in moves))
+            rows[seen[state], symbol] = (seen[to], math.prod(m[1] for m in moves), any(m[2] for m in moves))
     for i, symbol in product(range(len(seen)), SYMBOLS):
         arcs[symbol].append(rows[i, symbol])
     return 0, arcs
@@ -94,12 +114,13 @@ class Grammar:
     """Scores texts with a lexicon of word beginnings (an entry ending in ``$`` is a whole word)."""
 
     #: What a threat is worth before the grammar's factors.
-    THREAT_WEIGHT = 4.0
+    THREAT_WEIGHT = 10.0
 
-    def __init__(self, lexicon: dict[str, float]):
+    def __init__(self, lexicon: dict[str, float], parts: tuple[Transducer, ...] = PARTS):
         self.lexicon, self.roots = lexicon, {k[:SHORTEST] for k in lexicon}
-        self.start, self.arcs = compose(TARGET, THREAT, NEGATION, REPORTED)
-        self.words = {w: c for c, ws in (("Y", TARGETS), ("N", NEGATIONS), ("R", REPORTS), ("T", THREATS)) for w in ws}
+        self.start, self.arcs = compose(parts)
+        classes = (("V", INTENTS), ("T", THREATS), ("R", REPORTS), ("C", CONTRASTS), ("N", NEGATIONS), ("Y", TARGETS), ("S", SELVES))
+        self.words = {w: c for c, ws in classes for w in ws} | dict.fromkeys(".!?;\n", "#")
 
     def insult(self, word: str) -> float:
         """The weight of the longest known beginning, 0 if that isn't enough of an insult."""
@@ -115,19 +136,15 @@ class Grammar:
         tokens = _TOKEN.findall(text.lower())
         roots, words = self.roots, self.words
         worth = {i: v for i, t in enumerate(tokens) if t[:SHORTEST] in roots and (v := self.insult(t))}
-        n = sum(1 for t in tokens if t not in ".!?;\n")
-        if not worth and not any(t in THREATS for t in tokens):
+        n = sum(1 for t in tokens if words.get(t) != "#")
+        if not worth and not any(words.get(t) == "T" for t in tokens):
             return [], n
         found, now, state, arcs = [], 0.0, self.start, self.arcs
         for i, t in enumerate(tokens):
-            end = t in ".!?;\n"
-            symbol = "#" if end else "I" if i in worth else words.get(t, "W")
-            state, weight = arcs[symbol][state]
-            if symbol == "I":
-                now += worth[i] * weight
-            elif symbol in "TY" and weight >= 2:  # a threat and its target have met
-                now += self.THREAT_WEIGHT * weight
-            if end and now:
+            symbol = "I" if i in worth else words.get(t) or ("N" if t.endswith(("n't", "n’t")) else "W")
+            state, weight, threat = arcs[symbol][state]
+            now += (worth[i] * weight if symbol == "I" else 0.0) + (self.THREAT_WEIGHT * weight if threat else 0.0)
+            if symbol == "#" and now:
                 found.append(now)
                 now = 0.0
         return found + [now] * (now > 0), n
