@@ -268,7 +268,7 @@ def test_posteriors_match_plain_em(spark):
     pats = [([1, 1, 0], 700), ([1, -1, 1], 60), ([-1, 1, -1], 40), ([0, -1, -1], 30), ([1, 1, 1], 500)]
     got = {tuple(r.votes): r.posterior for r in quality_rules.posteriors(spark.createDataFrame(pats, "votes array<int>, n long"), 3, 25).collect()}
     pi, a, b = quality_rules.START[0], [quality_rules.START[1]] * 3, [quality_rules.START[2]] * 3
-    pr, trust, (p0, a0, b0) = quality_rules.PRIOR, quality_rules.TRUST, quality_rules.START
+    pr, (p0, a0, b0) = quality_rules.PRIOR, quality_rules.START
 
     def post(v):
         g, h = pi, 1 - pi
@@ -280,11 +280,37 @@ def test_posteriors_match_plain_em(spark):
     for _ in range(25):
         q = [(v, n, post(v)) for v, n in pats]
         pi = (sum(n * p for _, n, p in q) + pr * p0) / (sum(n for _, n, _ in q) + pr)
-        a = [max(trust, (sum(n * p for v, n, p in q if v[r] == 1) + pr * a0) / (sum(n * p for v, n, p in q if v[r]) + pr)) for r in range(3)]
+        a = [(sum(n * p for v, n, p in q if v[r] == 1) + pr * a0) / (sum(n * p for v, n, p in q if v[r]) + pr) for r in range(3)]
         b = [(sum(n * (1 - p) for v, n, p in q if v[r] == -1) + pr * b0) / (sum(n * (1 - p) for v, n, p in q if v[r]) + pr) for r in range(3)]
     assert got == pytest.approx({tuple(v): post(v) for v, _ in pats}, abs=1e-9)
 
 
+BASE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+hit AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+pos AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM hit, range(0, 8) t(k) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines,
+       coalesce(pos.n, 0)::BIGINT AS n_repeat_words, len(w) < 20 OR 100 * coalesce(pos.n, 0) > 30 * len(w) AS base_failed
+FROM d LEFT JOIN l USING (doc_id) LEFT JOIN pos USING (doc_id)
+"""
+
+
+def test_rules_base_columns_match_sql(spark):
+    compare(queries.QUERIES["op5_quality_rules"](spark, SF).drop("kept", "posterior", "votes"), BASE_SQL, SF)
+
+
+def test_rules_verdict_is_not_a_veto(spark):
+    sf = "/root/testdata/sf0.01"
+    r = queries.QUERIES["op5_quality_rules"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality"), "doc_id", "left").where("NOT base_failed").collect()
+    veto = [all(v >= 0 for v in x.votes) for x in r]
+    assert any(x.kept != v for x, v in zip(r, veto)) and any(not x.kept for x in r)
+    wrong = lambda said: sum(k != (x.quality == 1) for x, k in zip(r, said) if x.quality is not None)
+    assert wrong([x.kept for x in r]) <= wrong(veto) < 0.05 * len(r)
+    assert all(x.kept for x in r if x.quality == 1 and min(x.votes) >= 0)
+
+
 def test_histogram_answers(spark):
     texts = ["", None, "one two three", "one", "a much longer text of some more words " * 40]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
@@ -335,22 +361,34 @@ def test_scores_of_odd_rows(spark, odd):
 
 def test_grammar_weighs_clauses():
     g = toxicity.Grammar({"idi": 5.0, "idiom": -3.0, "kind$": -1.0})
-    plain, target, negated, said = (sum(g.clauses(t)[0]) for t in ("an idiot came.", "you are an idiot.", "not an idiot.", "they said idiot."))
+    score = lambda t: sum(g.clauses(t)[0])
+    plain, target, negated, said = (score(t) for t in ("an idiot came.", "you are an idiot.", "not an idiot.", "they said idiot."))
     assert target > plain > said > negated > 0
     assert g.clauses("an idiom. you? kind")[0] == [] and g.clauses("")[0] == []
-    assert g.clauses("I will kill you")[0] and not g.clauses("to kill time")[0]
-
-
-def test_pipeline_keeps_its_promises(spark):
-    import corpus_pipeline as p
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept, sf = docs, SF
-    for name, stage in p.STAGES[:-1]:
-        out = stage(spark, kept, sf)
-        assert out.columns == docs.columns, name
-        before, after = {r.doc_id for r in kept.select("doc_id").collect()}, {r.doc_id for r in out.select("doc_id").collect()}
-        assert after <= before and (name != "mixing" or after == before)
-        kept = out.cache()
-    last = p.run(spark, SF).collect()
-    assert {r.doc_id for r in last} == {r.doc_id for r in kept.collect()}
+    assert score("I don't think you are an idiot") < plain and score("not clever but an idiot") == plain and score("he said so. an idiot") == plain
+    threat = score("I will kill you")
+    assert threat > plain and score("they said I will kill you") < threat and score("I will not kill you") < threat and score("kill yourself") == score("ich werde dich töten") == score("je vais te tuer") == threat
+    assert not any(map(score, ("to kill time", "we beat you at chess", "you burn calories", "the fire will destroy houses. you left", "")))
+
+
+def test_each_transducer_changes_decisions():
+    """A small corpus in which only the grammar tells clean from toxic: with any part of it left out some decisions are others."""
+    lexicon, fill = {"idiot": 4.0}, "some words of a longer text follow here and there."
+    toxic = ["you are an idiot", "you know what an idiot", "I will kill you", "we shall hurt all of you"]
+    clean = ["an idiot came", "nobody is an idiot", "you are not an idiot", "they said you are an idiot", "we beat you at chess", "I will not kill you", "he wrote I will kill you"]
+    full = toxicity.Grammar(lexicon)
+    top = lambda g, t: max(g.clauses(f"{t}. {fill}")[0], default=0.0)
+    bar = 5.0
+    assert all(top(full, t) > bar for t in toxic) and all(top(full, t) <= bar for t in clean)
+    for k in range(len(toxicity.PARTS)):
+        less = toxicity.Grammar(lexicon, tuple(p for i, p in enumerate(toxicity.PARTS) if i != k))
+        assert any((top(less, t) > bar) != (t in toxic) for t in toxic + clean), k
+
+
+def test_disagreeing_and_repeated_labels(spark):
+    from siftwright.llm import fitting
+
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (2, 1), (4, 0)], "doc_id long, quality int")
+    assert {(r.id, r.label) for r in fitting.marked(labels, "quality", 97, 96).collect()} == {(2, 1), (4, 0)}
+    docs = spark.createDataFrame([(2, "a"), (2, "b"), (2, "a"), (4, None)], "doc_id long, text string")
+    assert fitting.texts_of_sample(docs, spark.createDataFrame([(2, 1), (4, 0)], "id long, label int"), "t").count() == 1
