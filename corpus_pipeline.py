@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwright.llm import compression_quality, decontaminate, jaccard_join, mixing, sharding
-from siftwright.llm.common import materialise, shared_dir
+from siftwright.llm.common import materialise, shared_dir, text_key
 from siftwright.llm.queries import WEIGHTS
 
 
@@ -38,10 +38,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
     found = decontaminate.decontaminate(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = materialise(found.where("contaminated").select("th", "tl").distinct(), "contaminated")
-    th, tl = decontaminate.text_key(docs["text"])
-    keyed = docs.withColumns({"_th": th, "_tl": tl})
-    return keyed.join(bad, (F.col("_th") == F.col("th")) & (F.col("_tl") == F.col("tl")), "left_anti").select(*docs.columns)
+    bad = materialise(found.where("contaminated").select(F.col("th").alias("_bad_th"), F.col("tl").alias("_bad_tl")).distinct(), "contaminated")
+    th, tl = text_key(docs["text"])
+    keyed = docs.withColumns({"_own_th": th, "_own_tl": tl})
+    return keyed.join(bad, (F.col("_own_th") == F.col("_bad_th")) & (F.col("_own_tl") == F.col("_bad_tl")), "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and place; the places of a shard follow the mix, worked out again as files keep no order."""
-    return sharding.shard_documents(docs, carry=True, order=lambda d: mixing.mix(d, WEIGHTS, carry=True).select(*d.columns, "position"))
+    """All documents with their shard and place, by the stored map of this table's shards, which is edited when they have grown.
+
+    The places of a shard follow the mix, worked out again as files keep no order.
+    """
+    known = sharding.map_path(spark, sf_dir, "pipeline")
+    return sharding.shard_documents(docs, known=known, carry=True, order=lambda d: mixing.positions(d, WEIGHTS))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
