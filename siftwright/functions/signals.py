@@ -74,6 +74,11 @@ def has_any(text: Column, *literals: str) -> Column:
     return out
 
 
+def key_values(text: Column) -> Column:
+    """Number of key-value pairs; only texts with one of their marks are searched."""
+    return F.when(has_any(text, ":", "：", "=", "→"), count(text, KEY_VALUE)).otherwise(0)
+
+
 def ordered_unique(values: Column) -> Column:
     """Values without punctuation at their ends; of spellings that differ in case the first, in order."""
     ends = f"[{PUNCTUATION}]+"
@@ -107,7 +112,7 @@ def looks_like_code(line: Column) -> Column:
 
 def is_fact_dense(text: Column) -> Column:
     numbers = count(text, NUMBER)
-    score = numbers + count(text, FACT_UNIT) * 2.5 + count(text, KEY_VALUE) * 2.0 + count(text, BULLET) * 1.5 + (occurrences(text, "→") + occurrences(text, "->")) * 2.0
+    score = numbers + count(text, FACT_UNIT) * 2.5 + key_values(text) * 2.0 + count(text, BULLET) * 1.5 + (occurrences(text, "→") + occurrences(text, "->")) * 2.0
     return (F.length(strip(text)) >= 20) & (((F.length(text) < 500) & (numbers >= 3)) | (score > F.greatest(F.length(text) * 0.045, F.lit(6.0))))
 
 
@@ -132,7 +137,7 @@ def fact_score(chunk: Column) -> Column:
     t = strip(chunk)
     low = F.lower(t)
     score = (
-        count(t, FACT_UNIT) * 10.0 + count(t, NUMBER) * 5.0 + count(t, KEY_VALUE) * 8.0 + count(t, IDENTIFIER) * 7.0 + count(t, COMPARE) * 4.0
+        count(t, FACT_UNIT) * 10.0 + count(t, NUMBER) * 5.0 + key_values(t) * 8.0 + count(t, IDENTIFIER) * 7.0 + count(t, COMPARE) * 4.0
         + count(t, r"(?U)\b[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*\b") * 2.0 + count(t, r"(?U)\b[A-Z]{2,}\b") * 2.0
         + F.size(F.filter(F.array(*map(F.lit, CRITICAL)), lambda w: F.contains(low, w))) * 4.0
     )
@@ -149,7 +154,7 @@ def compact_fact(chunk: Column) -> Column:
 def fact_chunks(text: Column) -> Column:
     """Bullet and key-value lines whole, other lines by sentence."""
     lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
-    whole = lambda x: x.rlike(r"(?U)^\s*[-•*]\s+\S") | x.rlike(KEY_VALUE)
+    whole = lambda x: x.rlike(r"(?U)^\s*[-•*]\s+\S") | (has_any(x, ":", "：", "=", "→") & x.rlike(KEY_VALUE))
     parts = lambda x: F.filter(F.transform(F.split(x, r"(?U)(?<=[.!?。！？])\s+"), strip), lambda y: y != "")
     return F.flatten(F.transform(lines, lambda x: F.when(whole(x), F.array(x)).otherwise(parts(x))))
 

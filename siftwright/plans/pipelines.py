@@ -87,9 +87,11 @@ def adaptive_compress(messages: DataFrame, ratio: Column | float = 0.5) -> DataF
     g = g.withColumns({"_code": code, "_dense": signals.is_fact_dense(t)})
     same = ~F.col("_code") & (F.length(t) < 1200) & (F.col("r") >= 0.90) & (F.col("_dense") | (signals.count(t, signals.NUMBER) >= 6) | (signals.count(t, signals.IDENTIFIER) >= 1))
     flags = g.select("conv_id", "_code", "_dense", same.alias("_same"))
-    m = m.join(flags, "conv_id")
+    # written once each: the rules and the packing read them more than once
+    m = materialise(m.join(flags, "conv_id"), "flagged")
     ruled = rule_compress(m.where("NOT _code AND NOT _dense AND NOT _same").select("conv_id", "turn", "role", "content"))
-    m = m.join(ruled.select("conv_id", "turn", F.col("content").alias("_new")), ["conv_id", "turn"], "left").withColumn("content", F.coalesce("_new", "content"))
+    m = m.join(ruled.select("conv_id", "turn", F.col("content").alias("_new")), ["conv_id", "turn"], "left").withColumn("content", F.coalesce("_new", "content")).drop("_new")
+    m = materialise(m, "to_pack")
     target = F.greatest(F.lit(1), F.floor(F.length("content") * F.col("_ratio")))
     facts = (F.col("_dense") & ~F.col("_code")) | signals.is_fact_dense(F.col("content"))
     whole = F.col("_same") | (F.coalesce("content", F.lit("")) == "")
@@ -327,12 +329,12 @@ def benchmark(cases_: DataFrame, threshold: float = 0.7, ratio: float | None = N
     ids = cases_.select("id").withColumn("conv_id", F.xxhash64("id"))
     whole = cases_.select(F.xxhash64("id").alias("conv_id"), F.posexplode("messages").alias("turn", "m")).select("conv_id", F.col("turn").cast("long").alias("turn"), "m.role", "m.content")
     if ratio is None:
-        m = dedup.near_dedup(whole, threshold).drop("ref")
+        m = materialise(dedup.near_dedup(whole, threshold).drop("ref"), "deduplicated")
         plan = groups.ratio_policy(groups.content_profile(m)).select("conv_id", F.col("keep_ratio").alias("_k"), "method")
     else:
         m = whole
         plan = ids.select("conv_id", F.lit(ratio).alias("_k"), F.lit("fixed").alias("method"))
-    out = adaptive_compress(m.join(plan.drop("method"), "conv_id"), F.col("_k"))
+    out = materialise(adaptive_compress(m.join(plan.drop("method"), "conv_id"), F.col("_k")), "packed")
     texts = out.groupBy("conv_id").agg(_joined_text("text")).join(whole.groupBy("conv_id").agg(_joined_text("original")), "conv_id")
     return texts.join(ids, "conv_id").join(plan, "conv_id").select("id", "text", "original", F.col("_k").alias("keep_ratio"), "method")
 
