@@ -9,7 +9,7 @@ A document is its set of word n-grams. Which documents can be linked at all is d
   first by their exact count, still has one in common with every partner's.
 
 Documents with an n-gram in common there form a branch; branches of the same documents are one. Bounds by size and by
-bucket counts leave out the rows of a branch without a possible partner. The others' whole sets, in one order
+bucket counts leave out pairs that can't reach the threshold; a pair left is tried in one branch. Their whole sets, in one order
 (commonest n-grams of the branch first), are stored in a radix tree, and all probes of the branch walk it together:
 a node adds its overlap with every probe once for all sets below it, and a probe leaves a subtree as soon as what
 remains can't reach the threshold. Large branches are cut into blocks of their documents, each probed by the same few
@@ -19,6 +19,7 @@ leaders; what the leaders don't connect comes back in the next round with others
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +31,12 @@ from .common import blocks, components, drop_tables, groups, materialise, signed
 
 #: Hundredths of a set by which its prefix is longer than it must be.
 EXTRA = 10
-#: Buckets of a set's signature, which bounds the overlap of two sets from above.
-BUCKETS = 256
-#: Branches of up to so many documents and n-grams are joined in one go; larger ones by leaders against blocks of that size.
-SMALL, TOKENS = 128, 2_000_000
+#: Members of a set for each bucket of its signature, which bounds the overlap of two sets from above; least buckets.
+BUCKET, LEAST = 2, 64
+#: Branches of up to so many documents and n-grams are compared in one go; larger ones by leaders against blocks of that size.
+SMALL, TOKENS = 512, 16_000_000
 #: Leaders of a large branch in the first rounds, and in each later one.
-LEADERS = (2, 16, 128)
+LEADERS = (8, 64, 512)
 
 
 def _need(a, b, percent: int):
@@ -93,8 +94,38 @@ def _describe(n: int, percent: int):
 
 
 def _signature(s: np.ndarray) -> bytes:
-    """Counts of the set's members in each bucket, 255 standing for any larger count."""
-    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+    """Counts of the set's members in each of a power of two of buckets, by the upper bits; 255 stands for any larger count."""
+    bits = max(LEAST, len(s) // BUCKET).bit_length() - 1
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+class Signatures:
+    """Signatures of some sets, compared at the shorter one's number of buckets (one of twice as many is folded)."""
+
+    def __init__(self, found: list[bytes]):
+        self.width = np.array([len(x) for x in found])
+        self.at: dict[int, np.ndarray] = {}
+        self.rows: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            who = np.flatnonzero((self.width == w) | (self.width == 2 * w))
+            rows = [np.frombuffer(found[i], np.uint8) for i in who]
+            folded = [r if len(r) == w else np.where((r[::2] == 255) | (r[1::2] == 255), 255, np.minimum(r[::2].astype(np.uint16) + r[1::2], 255)).astype(np.uint8) for r in rows]
+            place = np.full(len(found), -1)
+            place[who] = np.arange(len(who))
+            self.at[w], self.rows[w] = place, np.stack(folded)
+
+    def most(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Overlaps with set i that the others can have at most."""
+        out = np.full(len(others), np.iinfo(np.int64).max)
+        for w in {int(self.width[i]), int(self.width[i]) // 2} & set(self.rows):
+            level = self.width[others] == w if w < self.width[i] else self.width[others] >= w
+            level &= self.at[w][others] >= 0
+            if level.any():
+                least = np.minimum(self.rows[w][self.at[w][i]], self.rows[w][self.at[w][others[level]]])
+                most = least.sum(axis=1, dtype=np.int64)
+                most[(least == 255).any(axis=1)] = np.iinfo(np.int64).max
+                out[level] = most
+        return out
 
 
 def _whole(n: int):
@@ -123,36 +154,33 @@ def _whole(n: int):
     return run
 
 
-def _outside(comp: np.ndarray, lead: np.ndarray) -> np.ndarray:
-    """Who has to probe: leaders outside the largest component; every pair of two components has such a one."""
-    if not lead.all():
-        return np.flatnonzero(lead)
-    kinds, which, count = np.unique(comp, return_inverse=True, return_counts=True)
-    return np.flatnonzero(which != np.argmax(count))
-
-
 def _screen(percent: int):
-    """Of each block's rows those with a partner that sizes and signatures allow."""
+    """Of each block's pairs those that sizes and signatures allow, with a leader in each; two leaders meet in the first block alone.
+
+    A pair that shares several branches is given in the first of them only (``own`` lists a document's branches).
+    """
+    names = ["tok", "block", "a", "b", "ca", "cb", "la", "lb"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, "tok", "block"):
-            size, comp, lead = (g.column(c).to_numpy(zero_copy_only=False) for c in ("size", "comp", "lead"))
-            sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint8).reshape(-1, BUCKETS)
-            first, keep = g.column("block")[0].as_py() == 0, np.zeros(len(size), bool)
-            for i in _outside(comp, lead):
-                # two leaders meet in the first block alone
-                others = np.flatnonzero((comp != comp[i]) if first else (comp != comp[i]) & ~lead)
+            sid, size, comp, lead = (g.column(c).to_numpy(zero_copy_only=False) for c in ("sid", "size", "comp", "lead"))
+            sig = Signatures(g.column("sig").to_pylist())
+            tok, block = (g.column(c)[0].as_py() for c in ("tok", "block"))
+            before = [frozenset(t for t in own if t < tok) for own in g.column("own").to_pylist()]
+            left, right = [], []
+            for i in np.flatnonzero(lead):
+                others = np.flatnonzero((comp != comp[i]) & (~lead | ((block == 0) & (np.arange(len(lead)) > i))))
                 need = _need(int(size[i]), size[others], percent)
                 fit = np.minimum(size[i], size[others]) >= need
                 others, need = others[fit], need[fit]
-                least = np.minimum(sig[i], sig[others])
-                most = least.sum(axis=1, dtype=np.int64)
-                most[(least == 255).any(axis=1)] = np.iinfo(np.int64).max
-                fit = others[most >= need]
-                keep[fit] = True
-                keep[i] |= len(fit) > 0
-            if keep.any():
-                yield from g.select(["tok", "block", "sid", "comp", "lead"]).filter(pa.array(keep)).combine_chunks().to_batches()
+                found = [j for j in others[sig.most(i, others) >= need].tolist() if before[i].isdisjoint(before[j])]
+                left += [i] * len(found)
+                right += found
+            if left:
+                i, j = np.array(left), np.array(right)
+                cols = [np.full(len(i), tok), np.full(len(i), block), sid[i], sid[j], comp[i], comp[j], lead[i], lead[j]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     return run
 
@@ -238,7 +266,7 @@ def _walk(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, "tok", "block"):
             comp, lead = (g.column(c).to_numpy(zero_copy_only=False) for c in ("comp", "lead"))
-            probes = _outside(comp, lead)
+            probes = np.flatnonzero(lead)
             if not len(probes):
                 continue
             sets = [np.frombuffer(x, np.uint64) for x in g.column("grams").to_pylist()]
@@ -249,28 +277,37 @@ def _walk(percent: int):
     return run
 
 
-def _round(live: DataFrame, whole: DataFrame, leaders: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """Links (a, b) of components by the branches ``live`` (tok, sid, size, comp), and the (tok, sid) still to be tried, if any."""
-    span = live.groupBy("tok").agg(F.count("*").alias("n"), F.sum("size").alias("grams"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    cut = F.greatest(F.ceil(F.col("n") / SMALL), F.ceil(F.col("grams") / TOKENS))
-    rows = materialise(live.join(span.select("tok", cut.cast("int").alias("blocks")), "tok"), "rows")
-    large = rows.where("blocks > 1").withColumn("lead", F.lit(False))
-    if any_large := not large.isEmpty():
+def _round(live: DataFrame, own: DataFrame, whole: DataFrame, leaders: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Links (a, b) of components by the branches ``live`` (tok, sid, size, comp), and the (tok, sid) still to be tried, if any.
+
+    ``own`` has each document's branches (sid, own): of those that two documents share, the first tries the pair.
+
+    Every pair of two components has a member outside the branch's largest one. Where those are few they are the leaders,
+    and the branch is done; else some rows lead, which are done with, and what they connect leaves fewer outside.
+    """
+    parts = live.groupBy("tok", "comp").agg(F.count("*").alias("c"), F.sum("size").alias("g"))
+    span = parts.groupBy("tok").agg(F.sum("c").alias("n"), F.sum("g").alias("grams"), F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("main")).where("comps > 1")
+    cut = F.greatest(F.ceil(F.col("n") / SMALL), F.ceil(F.col("grams") / TOKENS)).cast("int")
+    span = span.select("tok", "n", cut.alias("blocks"), F.col("main.comp").alias("main"), ((cut > 1) & (F.col("n") - F.col("main.c") > SMALL)).alias("many"))
+    rows = materialise(live.join(span, "tok").withColumn("lead", ~F.col("many") & (F.col("comp") != F.col("main"))), "rows")
+    large = rows.where("many")
+    if some_large := not large.isEmpty():
         # (the limit on the place is applied in each task before the shuffle)
         place = F.row_number().over(Window.partitionBy("tok").orderBy(F.xxhash64("sid"), "sid"))
-        first = large.select("tok", "sid").withColumn("place", place).where(F.col("place") <= leaders).select("tok", "sid", F.lit(True).alias("lead"))
-        large = materialise(large.drop("lead").join(first, ["tok", "sid"], "left").withColumn("lead", F.coalesce("lead", F.lit(False))), "large")
-    own = F.array(F.pmod(F.xxhash64("sid", F.lit(1)), F.col("blocks")).cast("int"))
-    block = F.when(F.col("lead"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)
-    cols = ["tok", "sid", "size", "comp", "lead"]
-    dealt = large.select(*cols, F.explode(block).alias("block")).unionByName(rows.where("blocks = 1").withColumn("lead", F.lit(True)).select(*cols, F.lit(0).alias("block")))
+        first = large.select("tok", "sid").withColumn("place", place).where(F.col("place") <= leaders).select("tok", "sid", F.lit(True).alias("first"))
+        large = materialise(large.join(first, ["tok", "sid"], "left").withColumn("lead", F.coalesce("first", F.lit(False))).drop("first"), "large")
+    alone = F.array(F.pmod(F.xxhash64("sid", F.lit(1)), F.col("blocks")).cast("int"))
+    block = F.when(F.col("lead"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(alone)
+    dealt = large.unionByName(rows.where("NOT many")).select("tok", "n", "sid", "size", "comp", "lead", F.explode(block).alias("block"))
     by = ["tok", "block"]
-    dealt = dealt.join(whole.select("sid", "sig"), "sid").repartition(*by).sortWithinPartitions(*by, "sid")
-    kept = materialise(dealt.mapInArrow(_screen(percent), "tok long, block int, sid long, comp long, lead boolean"), "screened")
+    dealt = dealt.join(whole.select("sid", "sig"), "sid").join(own, "sid").repartition(*by).sortWithinPartitions(*by, "sid")
+    pairs = materialise(dealt.mapInArrow(_screen(percent), "tok long, block int, a long, b long, ca long, cb long, la boolean, lb boolean"), "pairs")
+    sides = (pairs.select(*by, F.col(s).alias("sid"), F.col(f"c{s}").alias("comp"), F.col(f"l{s}").alias("lead")) for s in "ab")
+    kept = reduce(DataFrame.union, sides).distinct()
     full = kept.join(whole.select("sid", "grams"), "sid").repartition(*by).sortWithinPartitions(*by, "sid")
     links = materialise(full.mapInArrow(_walk(percent), "a long, b long").distinct(), "links")
-    drop_tables(kept, rows)
-    return links, large.where("NOT lead").select("tok", "sid") if any_large else None
+    drop_tables(pairs, rows)
+    return links, large.where("NOT lead").select("tok", "sid") if some_large else None
 
 
 def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
@@ -292,19 +329,22 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     null. Empty tables give empty results.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    told = materialise(d.mapInArrow(_describe(n, percent), "doc_id long, size long, s1 long, s2 long, prefix array<long>"), "sets")
+    read = materialise(d.mapInArrow(_describe(n, percent), "doc_id long, size long, s1 long, s2 long, prefix array<long>"), "sets")
 
     # one class for each set; its smallest doc_id stands for it
-    real = told.where("size > 0 AND doc_id IS NOT NULL")
-    classes = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.any_value("size").alias("size"), F.any_value("prefix").alias("prefix"))
-    classes = materialise(classes.withColumn("sid", F.monotonically_increasing_id()), "classes")  # (fixed once it is written)
+    real = read.where("size > 0 AND doc_id IS NOT NULL")
+    heads = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.any_value("size").alias("size"), F.any_value("prefix").alias("prefix"))
+    heads = materialise(heads.withColumn("sid", F.monotonically_increasing_id()), "heads")  # (fixed once it is written)
+    told, classes = materialise(read.drop("prefix"), "documents"), materialise(heads.drop("prefix"), "classes")
+    drop_tables(read)
 
     # exact counts of the prefixes' n-grams; what only one class has is of no use
-    heads = classes.select("sid", F.expr(_SHARED.format(percent=percent)).cast("int").alias("k"), F.explode("prefix").alias("tok"))
-    counts = materialise(heads.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1"), "counts")
-    mine = heads.join(counts.hint("shuffle_hash"), "tok").groupBy("sid", "k").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("t"))
+    each = heads.select("sid", F.expr(_SHARED.format(percent=percent)).cast("int").alias("k"), F.explode("prefix").alias("tok"))
+    counts = materialise(each.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1"), "counts")
+    mine = each.join(counts.hint("shuffle_hash"), "tok").groupBy("sid", "k").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("t"))
     mine = mine.where("size(t) >= k").select("sid", F.explode(F.expr("slice(t, 1, size(t) - k + 1)")).alias("t"))
     rare = materialise(mine.select("sid", F.col("t.tok").alias("tok")), "rare")
+    drop_tables(counts, heads)
     # branches with the same documents are one: told by their number and by two hashes of the set
     marks = [F.bit_xor(F.xxhash64("sid", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
     same = rare.groupBy("tok").agg(F.count("*").alias("n"), *marks).where("n > 1").groupBy("n", "x0", "x1").agg(F.min("tok").alias("tok"))
@@ -315,16 +355,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     texts = d.where("text IS NOT NULL").join(used.select("sid", "s1", F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id")
     whole = texts.select("sid", "s1", "text").mapInArrow(_whole(n), "sid long, size long, sig binary, grams binary").dropDuplicates(["sid"])
     whole = materialise(whole, "whole")
-    drop_tables(counts, rare)
+    drop_tables(rare)
 
     # first each document in its largest branch, where copies of many meet; then in all of them
     label = used.select("sid", "size", F.col("rep").alias("comp"))
     largest = branch.groupBy("sid").agg(F.max(F.struct("n", "tok")).alias("x")).select(F.col("x.tok").alias("tok"), "sid")
-    links, _ = _round(largest.join(label, "sid"), whole, LEADERS[0], percent)
+    links, _ = _round(largest.join(label, "sid"), largest.select("sid", F.array("tok").alias("own")), whole, LEADERS[0], percent)
     label = _merged(label, links)
     left, turn = branch.select("tok", "sid"), 0
+    own = materialise(branch.groupBy("sid").agg(F.collect_list("tok").alias("own")), "own")
     while left is not None:
-        links, left = _round(left.join(label, "sid"), whole, LEADERS[min(turn, len(LEADERS) - 1)], percent)
+        links, left = _round(left.join(label, "sid"), own, whole, LEADERS[min(turn, len(LEADERS) - 1)], percent)
         label, turn = _merged(label, links), turn + 1
 
     comps = classes.select("s1", "s2", "sid", "rep").join(label.select("sid", "comp"), "sid", "left").select("s1", "s2", F.coalesce("comp", "rep").alias("comp"))
