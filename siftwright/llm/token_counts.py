@@ -10,6 +10,8 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: The vocabulary's file (ranks of byte pairs) and the split into pieces that it was made for.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -81,5 +83,8 @@ def quantile(sums: DataFrame, q: float) -> int | None:
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Suffix sums over the exact histogram of encoded lengths: one row for each length that occurs."""
-    return suffix_sums(histogram(docs, vocabulary))
+    """Suffix sums over the exact histogram of encoded lengths: one row for each length that occurs.
+
+    The histogram is written once, so every text is encoded once. Repeated rows count each; other columns are ignored.
+    """
+    return suffix_sums(materialise(histogram(docs, vocabulary), "lengths"))
