@@ -81,13 +81,15 @@ def duplicate_ratio(messages: DataFrame, most: int = 30) -> DataFrame:
     """
     w = Window.partitionBy("conv_id").orderBy("turn")
     m = messages.withColumn("i", F.row_number().over(w)).where(F.col("i") <= most)
-    hashes = F.when(F.length("content") >= 20, F.transform(char_ngrams(F.col("content"), 3), lambda g: F.xxhash64(g)))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("content") - 2), lambda i: F.xxhash64(F.substring("content", i, F.lit(3)))))
+    # (bound once: the size is that of the same array)
+    one = F.when(F.length("content") >= 20, F.transform(F.array(grams), lambda g: F.struct(F.col("i").alias("i"), F.size(g).alias("n"), g.alias("g")))[0])
     # the bounded list of a conversation is compared inside its own row
-    lists = m.groupBy("conv_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(hashes.isNotNull(), F.struct("i", F.size(hashes).alias("n"), hashes.alias("g"))))).alias("m"))
+    lists = m.groupBy("conv_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(one)).alias("m"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
     similar = F.expr(
-        "aggregate(m, 0, (t, a) -> t + size(filter(m, b -> b.i > a.i AND least(a.n, b.n) > 0.6D * greatest(a.n, b.n)"
-        " AND size(array_intersect(a.g, b.g)) * 1.6D > 0.6D * (a.n + b.n))))"
+        "aggregate(m, 0, (t, a) -> t + size(filter(m, b -> b.i > a.i AND 5 * least(a.n, b.n) > 3 * greatest(a.n, b.n)"
+        " AND 8 * size(array_intersect(a.g, b.g)) > 3 * (a.n + b.n))))"
     )
     return lists.select("conv_id", pairs.cast("long").alias("pairs"), similar.cast("long").alias("similar"), (similar / F.greatest(pairs, F.lit(1))).alias("duplicate_ratio"))
 
