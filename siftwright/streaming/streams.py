@@ -49,7 +49,7 @@ def windowed_costs(calls: DataFrame, window: str = "1 hour", lateness: str = "2
 def recall_state(requests: DataFrame, ttl: int = TTL) -> DataFrame:
     """For each request (hash_key, ts) whether its key was stored within the last ``ttl`` seconds; each request stores it again.
 
-    State is one time per key and ends with event time, so it is bounded by the keys of ``ttl`` seconds and the lateness.
+    State is one time (in microseconds) per key and ends with event time, so it is bounded by the keys of ``ttl`` seconds and the lateness.
     """
 
     def step(key: tuple, batches, state: GroupState):
@@ -57,19 +57,18 @@ def recall_state(requests: DataFrame, ttl: int = TTL) -> DataFrame:
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        for pdf in batches:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            hits = []
-            for t in pdf["ts"]:
-                now = t.timestamp()
-                hits.append(last is not None and now - last <= ttl)
-                last = now if last is None else max(last, now)
-            yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "hash_key": key[0], "hit": hits})
+        # a key's rows come in several Arrow batches; only all of them together can be put in order
+        rows = pd.concat([b[["event_id", "ts"]] for b in batches]).sort_values(["ts", "event_id"])
+        hits = []
+        for now in rows["ts"].to_numpy("datetime64[us]").astype("int64").tolist():
+            hits.append(last is not None and now - last <= ttl * 1_000_000)
+            last = now if last is None else max(last, now)
         state.update((last,))
-        state.setTimeoutTimestamp(max(int((last + ttl) * 1000), state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(last // 1000 + ttl * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "hash_key": key[0], "hit": hits})
 
     marked = requests.withWatermark("ts", "1 hour")
-    return marked.groupBy("hash_key").applyInPandasWithState(step, "event_id long, hash_key string, hit boolean", "last double", "append", GroupStateTimeout.EventTimeTimeout)
+    return marked.groupBy("hash_key").applyInPandasWithState(step, "event_id long, hash_key string, hit boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def learning_state(calls: DataFrame) -> DataFrame:
