@@ -16,7 +16,7 @@ from ..sources.scratch import drop_tables, exists, materialise, shared_dir
 __all__ = ["Words", "blocks", "components", "drop_tables", "exists", "groups", "materialise", "mix", "shared_dir", "signed", "text_key", "texts_of", "windows"]
 
 #: Bytes of text taken together by the vectorised passes; bounds a worker's memory.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 #: Bytes whose powers are kept, and the longest word that is hashed with them.
 CHUNK, LONG_WORD = 1 << 18, 1024
 
@@ -126,6 +126,8 @@ def blocks(batches: Iterator[pa.RecordBatch], lower: bool = False) -> Iterator[t
             own = offsets[at : to + 1]
             yield batch.slice(at, to - at), _hash_words(data[own[0] : own[-1]], own - own[0], lower)
             at = to
+    # a worker outlives its task, and what Arrow holds for the next one counts as the executor's
+    pa.default_memory_pool().release_unused()
 
 
 def groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
