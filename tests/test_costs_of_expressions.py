@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from siftwright import queries
 from siftwright.functions import rules, signals
 from siftwright.operators import dedup, groups
+from siftwright.plans import pipelines
 
 MESSAGE = "conv_id long, turn long, role string, content string"
 
@@ -80,3 +81,30 @@ def test_messages_without_instructions_are_not_shuffled(spark):
     # every read of the messages asks for two CJK characters before it works out an instruction
     filters = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "= user)" in x]
     assert filters and all("RLIKE(content" in x for x in filters)
+
+
+def test_text_call_looks_for_entities_once_in_each_text(spark):
+    df = spark.createDataFrame([(1, "Invoice 12 of ACME3 is due. It was sent on May 3, and Ann paid 40 of it. " * 3), (2, " \n"), (3, None)], "doc_id long, text string")
+    out = pipelines.compress_text(df, "doc_id", "text", "aggressive")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count(signals.ENTITY) == 2
+    got = {r.doc_id: r for r in out.collect()}
+    want = df.join(out.select("doc_id", "compressed"), "doc_id").select("doc_id", *(c.alias(k) for k, c in signals.evaluate(F.col("text"), F.col("compressed")).items()))
+    assert all(got[r.doc_id][k] == v for r in want.collect() for k, v in r.asDict().items()) and got[1].entity_recall < 1 and got[2].passed is None
+
+
+def test_words_and_marks_of_a_text(spark):
+    """Entities, numbers and marks as their plain patterns say, by the scores' own counts."""
+    rnd = random.Random(11)
+    parts = ["Ann", "Bob2", "x", "x1", "_A", "Éa", "1", "1.5", "٣", "３", "$", "¥", "%", "％", "ms", "GB", ":", "：", "=", "→", "->", "{", "()", " ", "\n", "é", "a_b", "ok", "ſ", "中", "-", ".", ","]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(14))) for _ in range(4000)]
+    entity, number = r"(?U)\b[A-Z][a-zA-Z]+\b|\b\d[\d,.]*\b|\b[a-zA-Z]+\d+\b", r"(?U)\b\d[\d,.]*\b"
+    c, n = F.trim("t"), lambda p: F.regexp_count(F.trim("t"), F.lit(p))
+    found = lambda p: F.regexp_extract_all("t", F.lit(p), F.lit(0))
+    score = (
+        n(number) * 3.0 + n(r"(?U)\d+[%％]") * 2.0 + n(r"(?U)[$€¥£]\d") * 2.0 + n(r"(?U)\b[A-Z][a-zA-Z]{2,}\b") * 1.5 + n(r"(?U)[\w]+[:：=→]") * 2.0 + n(signals.FACT_UNIT) * 5.0
+        + F.when(c.rlike(r"[{}]|\(\)|=>|->|```"), 3.0).otherwise(0.0) - F.when(c.rlike(signals.ACK), 5.0).otherwise(0.0) + F.least(F.length(c) / 50, F.lit(3.0))
+    )
+    want = F.when(F.length(c) == 0, 0.0).otherwise(score / F.greatest(F.pow(F.length(c).cast("double"), F.lit(0.3)), F.lit(1.0)))
+    x = spark.createDataFrame([(t,) for t in texts if t == t.strip()], "t string")
+    bad = x.where((found(entity) != found(signals.ENTITY)) | (found(number) != found(signals.PLAIN_NUMBER)) | (signals.density_score(F.col("t")) != want) | (signals.occurrences(F.col("t"), "→") != n("→")))
+    assert bad.collect() == [] and x.count() > 2000
