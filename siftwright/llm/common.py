@@ -19,6 +19,8 @@ __all__ = ["Words", "blocks", "components", "drop_tables", "exists", "groups", "
 BLOCK_BYTES = 2_000_000
 #: Bytes whose powers are kept, and the longest word that is hashed with them.
 CHUNK, LONG_WORD = 1 << 18, 1024
+#: Edges up to which the driver finds components (16 bytes each); more are joined on the cluster.
+EDGES = 100_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWER = 0x9E3779B97F4A7C17
@@ -156,12 +158,34 @@ def groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def smallest_nodes(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges (a, b) that aren't the smallest of their component, and that smallest node."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, two, up = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(up[one], up[two]), np.maximum(up[one], up[two])
+        if (low == high).all():
+            inner = np.flatnonzero(up != np.arange(len(up)))
+            return nodes[inner], nodes[up[inner]]
+        np.minimum.at(up, high, low)
+        while (up[up] != up).any():
+            up = up[up]
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges`` (a long, b long) as (node, component), component its smallest node.
+    """Connected components of ``edges`` (a long, b long) as (node, component), component its smallest node; smallest nodes have no row.
 
-    Alternating large-star and small-star steps: each step joins neighbours to their smallest one through
-    plain aggregations, so no component is ever held by one task. Ends when all nodes are joined to their smallest.
+    Up to EDGES edges are joined by the driver: each query it runs instead leaves plans, threads and figures of tasks
+    with it that take more memory than these edges. More are joined by alternating large-star and small-star steps:
+    each step joins neighbours to their smallest one through plain aggregations, so no component is ever held by one
+    task. Ends when all nodes are joined to their smallest.
     """
+    edges = edges.where("a <> b")
+    if edges.count() <= EDGES:
+        few = edges.toArrow()
+        found = smallest_nodes(*(few.column(c).to_numpy() for c in "ab"))
+        rows = pa.table([pa.array(x, pa.int64()) for x in found], ["node", "component"])
+        return materialise(edges.sparkSession.createDataFrame(rows, "node long, component long").coalesce(1), "components")
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:
@@ -177,7 +201,7 @@ def components(edges: DataFrame) -> DataFrame:
         return out.where("a <> b").distinct()
 
     before = None
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     while True:
         e = materialise(star(star(e, True), False), "stars")
         if before is not None:
