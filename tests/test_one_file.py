@@ -26,6 +26,15 @@ def test_texts_are_made_after_the_rows_are_dealt_out(spark, name):
     assert "Exchange hashpartitioning(o_orderkey" in _plan(queries.QUERIES[name](spark, SF))
 
 
+def test_fidelity_broadcasts_no_texts(spark):
+    assert "Broadcast" not in _plan(queries.QUERIES["fidelity"](spark, SF))
+
+
+def test_conversations_are_never_broadcast(spark):
+    a, b = (spark.range(9).withColumnRenamed("id", "conv_id") for _ in range(2))
+    assert "Broadcast" in _plan(a.join(b, "conv_id")) and "Broadcast" not in _plan(groups.beside(a, b))
+
+
 def test_patterns_that_skip_places_find_the_same(spark):
     rows = [
         ("emails", "x@y.com1@z.org a+b@c.de", ["x@y.com", "1@z.org", "a+b@c.de"]), ("paths", "/var/data/1.json a.py.md ..py", ["/var/data/1.json", "a.py.md", "..py"]),
