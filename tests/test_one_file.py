@@ -54,3 +54,12 @@ def test_keywords_of_a_text_in_one_pass(spark):
     assert str(signals.ascii_keywords(F.col("the_text"))).count("the_text") == 1
     got = spark.sql("SELECT 'Order order Check this CHECK status' AS t").select(signals.ascii_keywords(F.col("t")).alias("k")).first().k
     assert got == ["Order", "Check", "status"]
+
+
+def test_risk_policy_reads_each_text_once(spark):
+    rows = [(1, 0, "user", "ERROR " + "".join(groups.HIGH_RISK)), (1, 1, "tool", "".join(groups.LOW_RISK)), (2, 0, "user", "a Token"), (2, 1, "user", "token token 100%"), (3, 0, "tool", None), (3, 1, "user", None)]
+    got = groups.risk_policy(spark.createDataFrame(rows, "conv_id long, turn long, role string, content string"))
+    low = ["".join(t.lower() for c, _, _, t in rows if c == k and t) for k in (1, 2, 3)]
+    want = {k: (sum(w in t for w in groups.HIGH_RISK), sum(w in t for w in groups.LOW_RISK)) for k, t in zip((1, 2, 3), low)}
+    assert {r.conv_id: (r.risk_score, r.noise_score) for r in got.collect()} == want
+    assert _plan(got).count("lower(") <= 4
