@@ -41,7 +41,7 @@ def test_patterns_that_skip_places_find_the_same(spark):
         ("code_symbols", "1abc(x) ab1cd() ſELECT from", ["abc(", "ab1cd()", "ſELECT", "from"]), ("numbers", "٣ 5ms $7 a8 9", ["٣", "5ms", "$7", "9"]),
     ]
     for kind, text, want in rows:
-        assert spark.sql("SELECT 1").select(F.regexp_extract_all(F.lit(text), F.lit(f"(?iU){signals.SIGNALS[kind]}"), F.lit(0)).alias("v")).first().v == want, kind
+        assert spark.sql("SELECT 1").select(F.regexp_extract_all(F.lit(text), F.lit(f"(?iU){signals.QUICK[kind]}"), F.lit(0)).alias("v")).first().v == want, kind
 
 
 def test_key_values_after_runs_without_a_mark(spark):
